@@ -58,6 +58,11 @@ def strpt(text):
     return dt.datetime.fromisoformat(text) if isinstance(text, str) else F.to_timestamp(text).cast("timestamp_ntz")
 
 
+def two_digits(c: Column) -> Column:
+    """Two decimals of the exact binary value, halves to even, as printf has it."""
+    return F.replace(F.format_number(c, 2), F.lit(","))
+
+
 def pretty_nb(c):
     """A number with two decimals and the prefix of its power of a thousand; 0 stays 0."""
     if not isinstance(c, Column):
@@ -72,9 +77,9 @@ def pretty_nb(c):
     text = None
     for e in range(7, -9, -1):
         p = PREFIXES[e + 8]
-        shown = F.concat(F.format_string("%.2f", size / F.lit(1000.0**e)), F.lit("" if p == "_" else p))
+        shown = F.concat(two_digits(size / F.lit(1000.0**e)), F.lit("" if p == "_" else p))
         text = F.when(size >= F.lit(1000.0**e), shown) if text is None else text.when(size >= F.lit(1000.0**e), shown)
-    text = text.otherwise(F.concat(F.format_string("%.2f", size / F.lit(1000.0**-8)), F.lit("y")))
+    text = text.otherwise(F.concat(two_digits(size / F.lit(1000.0**-8)), F.lit("y")))
     return F.when(c == 0, "0").otherwise(F.concat(F.when(c < 0, "-").otherwise(""), text))
 
 

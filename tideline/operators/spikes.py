@@ -172,8 +172,9 @@ def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mine = own[s]
             kv, cv = np.flatnonzero(calm[s]), k[s]
             sparse = np.zeros(s.stop - s.start, bool)
-            if len(kv) >= 12 and mine.any():
-                sparse[kv] = sparse_cells(cv[kv], v[s][kv], int(columns[s][0]))
+            if mine.any() and len(kv):
+                # fewer readings have no profile; each of them is a candidate
+                sparse[kv] = sparse_cells(cv[kv], v[s][kv], int(columns[s][0])) if len(kv) >= 12 else True
             for kind, hit in (("impossible", impossible[s]), ("stuck", stuck[s]), ("spike", sparse & (far[s] > 0))):
                 hit = np.flatnonzero(hit & mine)
                 if len(hit):
@@ -183,7 +184,6 @@ def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scatter = 1.4826 * float(np.median(r)) if len(r) else None
             for c, x in zip(out, (labels[g], None, None, None, int((paired[s] & mine).sum()), int((equal[s] & mine).sum()), scatter, len(r))):
                 out[c].append(x)
-        # a spike is worth a row only well above the scatter of its own block
         yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in ARROW], schema=ARROW)
 
 

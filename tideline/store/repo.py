@@ -10,12 +10,14 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import json
-import re
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
 from contextlib import contextmanager
+from dataclasses import replace
 from functools import reduce
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -83,9 +85,16 @@ class Series:
         df = complete(self.schema, self.schema.create(self.repo.spark, data))
         if self.schema.kind == "kv" and start is None and stop is None and not root:
             return self._upsert(df)
+        if self.collection._pool is not None and not root:
+            self.collection._batch.append(self.collection._pool.submit(self._segment, df, start, stop, closed, presorted))
+            return []
+        new = self._segment(df, start, stop, closed, presorted)
+        return self.collection.put([new], root) if new else []
+
+    def _segment(self, df: DataFrame, start: Any, stop: Any, closed: Any, presorted: bool) -> Segment | None:
         stored = self.repo.store(self.schema, df, presorted)
         if not stored.length and (start is None or stop is None):
-            return []
+            return None
         n = len(self.schema.idx)
         given = Interval.of(self.schema, start, stop, closed)
         first = given.start if start is not None else stored.first if stored.length else (LOWEST,) * n
@@ -94,7 +103,7 @@ class Series:
             raise ValueError(f"start {first} lies after stop {last}")
         interval = Interval(first, last, Closed.cast(closed))
         whole = bool(stored.length) and interval.covers(Interval(stored.first, stored.last))
-        return self.collection.put([Segment(self.label, interval, stored.digest, stored.length, whole)], root)
+        return Segment(self.label, interval, stored.digest, stored.length, whole)
 
     def _upsert(self, new: DataFrame) -> list[Revision]:
         stats = new.agg(F.min(F.struct(*self.schema.idx)).alias("a"), F.max(F.struct(*self.schema.idx)).alias("b")).first()
@@ -132,7 +141,8 @@ class Collection:
     def __init__(self, repo: Repo, label: str, schema: Schema, path: str):
         self.repo, self.label, self.schema, self.path = repo, label, schema, path
         self.changelog = Changelog(repo.files, f"collections/{path}/_log")
-        self._batch: list[Segment] | None = None
+        self._batch: list[Segment | Future] | None = None
+        self._pool: ThreadPoolExecutor | None = None
 
     def series(self, label: str) -> Series:
         label = label.strip()
@@ -227,16 +237,20 @@ class Collection:
         return self.changelog.commit(reduce(Manifest.apply, segments, base).dumps(), [ROOT] if root else None)
 
     @contextmanager
-    def multi(self, root: bool = False):
-        """Writes in this block become one revision at its end; none if it raises."""
-        self._batch = []
+    def multi(self, root: bool = False, parallel: int = 8):
+        """Writes in this block become one revision at its end; none if it raises. So many of them run at the same time; they count in the order they were called."""
+        self._batch, self._pool = [], ThreadPoolExecutor(parallel) if parallel > 1 else None
         try:
             yield self
-            segments, self._batch = self._batch, None
+            batch, self._batch = self._batch, None
+            segments = [s.result() if isinstance(s, Future) else s for s in batch]
+            segments = [s for s in segments if s]
             if segments:
                 self.put(segments, root)
         finally:
-            self._batch = None
+            self._batch, pool, self._pool = None, self._pool, None
+            if pool:
+                pool.shutdown()
 
     def write(self, df: DataFrame, label_column: str = "label") -> list[Revision]:
         """Writes many series at once from one DataFrame with a column of labels: one pass over the rows, one revision.
@@ -260,8 +274,6 @@ class Collection:
             raise ValueError(f"no series {old!r}")
         moved = m.of(old)
         rest = Manifest(self.schema, tuple(s for s in m.segments if s.label != old))
-        from dataclasses import replace
-
         return self.changelog.commit(reduce(Manifest.apply, (replace(s, label=new) for s in moved), rest).dumps())
 
     def clone(self, target: Collection, rename: dict[str, str] | None = None, defaults: dict[str, Any] | None = None) -> list[Revision]:
@@ -503,14 +515,14 @@ class Repo:
         seen = Observation()
         h = F.xxhash64(*(F.col(f"`{n}`") for n in schema))
         idx = F.struct(*(F.col(f"`{n}`") for n in schema.idx))
-        df = df.observe(seen, F.count(F.lit(1)).alias("n"), F.min(idx).alias("a"), F.max(idx).alias("b"), F.sum(h.cast("decimal(38,0)")).alias("s"), F.bit_xor(h).alias("x"))
+        df = df.observe(seen, F.count(F.lit(1)).alias("n"), F.min(idx).alias("a"), F.max(idx).alias("b"), *checksums(h))
         aside = f"_writing/{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(self.files.uri(aside))
         m = seen.get
         if not m["n"]:
             self.files.remove(aside)
             return Stored("", 0, None, None)
-        digest = hashlib.sha1(f"{schema.dumps()}|{m['n']}|{m['s']}|{m['x']}".encode()).hexdigest()
+        digest = hashlib.sha1(f"{schema.dumps()}|{m['n']}|{m['s']}|{m['u']}|{m['x']}".encode()).hexdigest()
         if self.files.exists(f"data/{digest}"):
             self.files.remove(aside)
         else:
@@ -527,12 +539,10 @@ class Repo:
         h = F.xxhash64(*(F.col(f"`{n}`") for n in columns))
         key = F.struct(*(F.col(f"`{n}`") for n in idx))
         folder = F.regexp_extract(F.col("_metadata.file_path"), r"/(_label=[^/]*)/", 1)
-        stats = back.select("*", folder.alias("_f")).groupBy("_label", "_f").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("a"), F.max(key).alias("b"), F.sum(h.cast("decimal(38,0)")).alias("s"), F.bit_xor(h).alias("x"))
+        stats = back.select("*", folder.alias("_f")).groupBy("_label", "_f").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("a"), F.max(key).alias("b"), *checksums(h))
         out = []
         for r in stats.toLocalIterator():  # one row per series: what the manifest holds anyway
-            digest = hashlib.sha1(f"{schema.dumps()}|{r.n}|{r.s}|{r.x}".encode()).hexdigest()
-            from urllib.parse import unquote
-
+            digest = hashlib.sha1(f"{schema.dumps()}|{r.n}|{r.s}|{r.u}|{r.x}".encode()).hexdigest()
             if not self.files.exists(f"data/{digest}"):
                 source = f"{aside}/{r._f}"
                 self.files.rename(source if self.files.exists(source) else f"{aside}/{unquote(r._f)}", f"data/{digest}")
@@ -563,6 +573,11 @@ class Repo:
         return hard, soft
 
 
+def checksums(h: Column) -> list[Column]:
+    """Sums of two parts of a hash, short enough for 10^11 rows, and its exclusive or: the same for the same rows in any order and any number of copies."""
+    return [F.sum(h.bitwiseAND(F.lit(0xFFFFFF))).alias("s"), F.sum(F.shiftrightunsigned(h, 40)).alias("u"), F.bit_xor(h).alias("x")]
+
+
 def complete(schema: Schema, df: DataFrame) -> DataFrame:
     missing = [n for n in schema if n not in df.columns]
     if missing:
@@ -578,7 +593,3 @@ def chosen(df: DataFrame, select: str | list[str] | None) -> DataFrame:
     if unknown:
         raise ValueError(f"unknown columns: {unknown}")
     return df.select(*(f"`{c}`" for c in df.columns if c in keep))
-
-
-def safe_name(label: str) -> str:
-    return re.sub(r"[^\w.-]+", "_", label)

@@ -240,6 +240,15 @@ class Schema:
         have = {f.name: f.dataType for f in df.schema}
         return df.select(*(c.cast(F.col(f"`{n}`"), have[n]).alias(n) for n, c in self.columns.items() if n in have))
 
+    @property
+    def numeric(self) -> list[str]:
+        """Columns outside of the index that hold numbers: what a viewer can draw."""
+        return [n for n, c in self.columns.items() if not c.idx and isinstance(c.spark, T.NumericType)]
+
+    def __matmul__(self, labels: str | list[str]) -> dict[str, Schema]:
+        """``schema @ ["a", "b"]``: this schema for each label."""
+        return {label: self for label in ([labels] if isinstance(labels, str) else labels)}
+
     def values(self, bound: Any) -> tuple | None:
         """A bound (scalar or tuple of the first index columns) as typed values; None or an empty tuple is no bound."""
         if bound is None:
