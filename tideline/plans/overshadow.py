@@ -18,5 +18,5 @@ def visible(rows: DataFrame, writes: DataFrame, index: str, label: str = "label"
     left = F.col("start").isNull() | (x > F.col("start")) | (F.col("closed").isin("l", "b") & (x == F.col("start")))
     right = F.col("stop").isNull() | (x < F.col("stop")) | (F.col("closed").isin("r", "b") & (x == F.col("stop")))
     inside = left & right & (F.col(label) == F.col("_l"))
-    own = rows.join(w, inside & (F.col("seq") == F.col("_s")), "left_semi")
+    own = rows.where(x.isNotNull()).join(w, inside & (F.col("seq") == F.col("_s")), "left_semi")
     return own.join(w, inside & (F.col("_s") > F.col("seq")), "left_anti")
