@@ -1,6 +1,6 @@
 """Template residue, filler text and error pages that stand in place of a page's own words.
 
-A text is read as printed and, where lines hold two columns side by side, once more by left and right halves. Letters that scanners
+A text is read as printed and, where lines hold columns side by side, once more column by column. Letters that scanners
 confuse are folded to one each, words broken at line ends joined. Placeholders are found by one grammar per delimiter; messages by short fragments in any of
 the languages, compiled to one prefix tree of a regular expression. All of it is column expressions.
 """
@@ -27,16 +27,16 @@ javascript then refresh; your browser is not supported; enable cookies to contin
 service unavailable the archive; archive is down for; down for maintenance; maintenance please try; 502 bad gateway; bad gateway; 403 forbidden; gateway timeout; timeout while fetching; while fetching tile;
 database connection failed; connection failed timeout; ocr failed; empty response from; response from engine; image could not be displayed; not be displayed reload; reload the viewer; too many requests;
 requests wait; seconds and reload; and reload the page; access denied you; access denied; not have permission to view; permission to view this; your session has expired; session has expired please; sign in again to view;
-again to view this scan; the page you asked for; you asked for could not; asked for could not be; we can't find the page; can't find the page; page you're looking for; oops sorry; sorry something went wrong; something went wrong;
+again to view this scan; please sign in again; expired please sign; the page you asked for; you asked for could not; asked for could not be; we can't find the page; find the page you; page you're looking; can't find the page; find the page you; page you're looking; page you're looking for; oops sorry; sorry something went wrong; something went wrong;
 our team has been told; told about this problem; invalid token; log in to continue; item is no longer available; no longer available in the archive; nullpointerexception; java.lang; viewer.pageloader;
 pageloader.open; traceback most recent; most recent call last; keyerror; warning undefined variable; undefined variable; in viewer on line; syntax error unexpected; fatal error uncaught; segmentation fault; stack trace
-test page do not publish; page do not publish; sample text sample; text sample text; text to follow text to follow; text to follow; headline goes here; body copy goes here; copy goes here; insert story here; second paragraph here;
+test page do not publish; page do not publish; sample text sample; text sample text; text to follow text to follow; text to follow; headline goes here; headline goes; body copy goes; copy goes here; insert story here; story here second; second paragraph here;
 third paragraph here; this is dummy text; is dummy text; it only fills the column; only fills the column; fills the column until; column until the article; until the article arrives; placeholder text; your text here
 veuillez activer; activer javascript; javascript pour afficher; pour afficher cette page; cette visionneuse nécessite; visionneuse nécessite; nécessite javascript; les scripts sont désactivés; scripts sont désactivés; désactivés dans votre;
 dans votre navigateur; page introuvable erreur; page introuvable; erreur interne du; interne du serveur; service momentanément; momentanément indisponible; accès refusé; vous n'avez pas les droits; pas les droits nécessaires; l'image n'a pas pu;
 n'a pas pu être chargée; pas pu être chargée; votre session a expiré; session a expiré veuillez; veuillez vous reconnecter; vous reconnecter; ceci est un faux texte; un faux texte destiné; faux texte; destiné à remplir la; remplir la colonne; titre ici texte; titre ici; texte à venir
 bitte aktivieren sie; aktivieren sie javascript; javascript um diese; um diese seite anzuzeigen; diese seite anzuzeigen; für den seitenbetrachter; seitenbetrachter muss; muss javascript; javascript eingeschaltet; ihr browser unterstützt; browser unterstützt keine;
-unterstützt keine skripte; seite nicht gefunden; der angeforderte scan; angeforderte scan ist; scan ist nicht vorhanden; ist nicht vorhanden fehler; interner serverfehler; serverfehler bitte; bitte versuchen sie es; sie es später erneut; es später erneut; dienst ist wegen wartungs;
+unterstützt keine skripte; keine skripte; ihr browser unter; seite nicht gefunden; der angeforderte scan; angeforderte scan ist; scan ist nicht vorhanden; ist nicht vorhanden fehler; interner serverfehler; serverfehler bitte; bitte versuchen sie es; sie es später erneut; es später erneut; dienst ist wegen wartungs;
 wegen wartungsarbeiten; wartungsarbeiten nicht; arbeiten nicht erreichbar; ihre sitzung ist; zugriff verweigert bitte; zugriff verweigert; bitte melden sie sich; melden sie sich an; das bild konnte nicht; bild konnte nicht geladen; konnte nicht geladen werden; dies ist ein blindtext; ist ein blindtext;
 blindtext; er füllt nur die; füllt nur die spalte; überschrift hier text; überschrift hier; text folgt; mustertext mustertext; platzhaltertext
 schakel javascript; javascript in om; om deze pagina te bekijken; deze pagina te bekijken; scripts zijn uitgeschakeld; zijn uitgeschakeld in uw; uitgeschakeld in uw; in uw browser; voor deze viewer; deze viewer is; viewer is javascript; is javascript nodig; javascript nodig; pagina niet gevonden;
@@ -106,45 +106,49 @@ def message_pattern() -> str:
 
 def placeholder_pattern() -> str:
     """Grammars by delimiter, over folded text with single blanks."""
-    name = r"[\p{L}_][\p{L}\p{N}_.-]*"
+    name = r"[\p{L}_][\p{L}\p{N}_.,-]*"
     f = fold
     inside = r"[^\[\]{}<>()]"
     fields = "|".join(sorted({f(w) for w in FIELDS}))
+    editorial = "|".join(sorted({f(w) for w in EDITORIAL} | {"sio", "sii"}))
+    # delimiters that nothing else uses count even where an advert or a column has swallowed their end
     grammars = [
-        r"\{\{[^{}]{1,80}\}\}",
-        r"\{%[^{}]{1,80}%\}",
-        r"<%[^<>]{1,80}%>",
-        r"<\?[^<>]{1,80}\?>",
+        r"\{\{ ?#?[\p{L}_]",
+        r"\{% ?\p{L}",
+        r"<%=? ?[\p{L}_]",
+        r"<\?(?:=|php)? ?\$?[\p{L}_]",
         rf"[$#]\{{ ?{name} ?\}}",
         rf"%% ?{name} ?%%",
         rf"%\({name}\)[sdi]?",
         rf"%{name}%",
         rf"@@ ?{name} ?@@",
-        rf"\[\[ ?{name} ?\]\]",
-        rf"(?<!_)__[\p{{L}}][\p{{L}}\p{{N}}.]*(?:_[\p{{L}}\p{{N}}.]+)*__(?!_)",
+        rf"\[\[ ?{name}",
+        rf"(?<!_)__[\p{{L}}][\p{{L}}\p{{N}}.,]*(?:_[\p{{L}}\p{{N}}.,]+)*__(?!_)",
         rf"\${name}\$",
-        rf"\{{(?!(?:{'|'.join(sorted({f(w) for w in EDITORIAL} | {'sio', 'sii'}))})\}}){name}\}}",
+        rf"\{{(?!(?:{editorial})\}}){name}\}}",
+        r"\}\}",
         rf"« ?(?:{fields}|\p{{L}}+[_.][\p{{L}}\p{{N}}]+) ?»",
         rf"<{inside}{{1,40}} {f('goes')} ?{f('here')}>",
-        r"<<[^<>]{1,60}>>",
+        rf"&{f('lt')}; ?/?{name} ?/?&{f('gt')};",
+        r"<< ?[\p{L}_]",
+        rf"\[{f('your')} {f('text')}\b",
         rf"\[{f('your')} {inside}{{1,40}}\]",
-        rf"\[(?:{f('insert')}|{f('insérer')}|{f('einfügen')}|{f('invullen')}) {inside}{{1,40}}\]",
+        rf"\[(?:{f('insert')}|{f('insérer')}|{f('einfügen')}|{f('invullen')}) {name}",
         rf"\[{inside}{{1,40}} (?:{f('here')}|{f('ici')}|{f('hier')} ?{f('einfügen')}|{f('hier')} ?{f('invullen')}|{f('eintragen')}|{f('à compléter')})\]",
-        rf"\[{inside}{{1,40}}: ?{f('to')} {f('be')} {f('supplied')}\]",
-        rf"\[tk\b{inside}{{0,40}}\]",
-        rf"\[(?:{f('platzhalter')}|{f('placeholder')})\b{inside}{{0,40}}\]",
+        rf"\[{name}: ?{f('to')}\b",
+        rf"\[tk\b",
+        rf"\[(?:{f('platzhalter')}|{f('placeholder')})\b",
         rf"\((?:{f('enter')}|{f('insert')}) {name}\)",
     ]
-    return r"(?=[\[{<%$#@«_(])(?:" + "|".join(grammars) + ")"
+    return r"(?=[\[{<%$#@«_(&}])(?:" + "|".join(grammars) + ")"
 
 
 def readings(text: Column) -> Column:
-    """The text as printed, then, where lines hold two columns, its left and its right halves; in lower case, broken words joined, single blanks."""
-    lines = F.split(text, r"\r?\n")
-    halves = F.transform(lines, lambda x: F.split(F.trim(x), " {2,}", 2))
-    left = F.array_join(F.transform(halves, lambda h: h[0]), "\n")
-    right = F.array_join(F.transform(halves, lambda h: F.try_element_at(h, F.lit(-1))), "\n")
-    whole = F.when(text.rlike(r"\S {2,}\S"), F.concat_ws("\n\n", text, left, right)).otherwise(text)
+    """The text as printed, then, where lines hold several columns, each of up to four and the last ones; in lower case, broken words joined, single blanks."""
+    pieces = F.transform(F.split(text, r"\r?\n"), lambda x: F.split(F.trim(x), " {2,}"))
+    columns = [F.array_join(F.transform(pieces, lambda p, at=at: F.coalesce(F.get(p, at), F.lit(""))), "\n") for at in (F.lit(0), F.lit(1), F.lit(2), F.lit(3))]
+    last = F.array_join(F.transform(pieces, lambda p: F.element_at(p, -1)), "\n")
+    whole = F.when(text.rlike(r"\S {2,}\S"), F.concat_ws("\n\n", text, *columns, last)).otherwise(text)
     joined = F.regexp_replace(whole, "[-\\u00AD\\u2010=\\u00AC][ \\t]*\\r?\\n\\s*", "")
     return F.lower(F.regexp_replace(joined, r"[\s ]+", " "))
 
