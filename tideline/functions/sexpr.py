@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from tideline.functions import arrays, times
 
 TOKEN = re.compile(r"""\s+|\#[^\n]*|(?P<paren>[()])|(?P<text>"[^"]*"|'[^']*')|(?P<word>[^\s()"'#]+)""")
+INTERPOLATIONS = ("linear", "lower", "higher", "midpoint", "nearest")
 AGGREGATES = ("min", "max", "sum", "first", "last", "mean", "average", "quantile", "count", "len")
 
 
@@ -99,6 +100,7 @@ class Compiler:
 
     def __init__(self, df: DataFrame | None = None, env: dict[str, Any] | None = None, order: list[str] | None = None, grouped: bool = False):
         self.df, self.order, self.grouped = df, order or [], grouped
+        self.ranked: list[tuple[Column, float, str]] | None = None
         self.env: dict[str, Any] = {**FUNCTIONS, **(env or {})}
         if df is not None:
             self.env.setdefault("self", Frames(df))
@@ -169,6 +171,18 @@ class Compiler:
             return F.array(*(self.column(v) for v in x))
         return F.lit(x)
 
+    def quantile(self, c: Column, q: float = 0.5, interpolation: str = "linear") -> Column:
+        """Quantile of the values that are no null; between two neighbours by the named rule. Rules other than linear are left to the caller, which finds values by rank."""
+        if interpolation not in INTERPOLATIONS:
+            raise ValueError(f"interpolation must be one of {', '.join(INTERPOLATIONS)}")
+        if interpolation == "linear":
+            return F.percentile(c.cast("double"), F.lit(float(q)))
+        if self.ranked is None:
+            raise ValueError(f"a quantile with interpolation {interpolation} needs a frame to reduce")
+        self.ranked.append((c, q, interpolation))
+        self.df = self.df.withColumn(f"_q{len(self.ranked) - 1}", F.lit(None).cast("double"))  # so that types can be found
+        return F.max(f"_q{len(self.ranked) - 1}")
+
     def aggregate(self, name: str, *args: Any, **kw: Any) -> Any:
         if not args:
             if name in ("count", "len"):
@@ -195,33 +209,7 @@ class Compiler:
         if name in ("first", "last"):
             by = F.struct(*(F.col(f"`{c}`") for c in self.order), arg)
             return F.min_by(arg, by) if name == "first" else F.max_by(arg, by)
-        return quantile(arg, *args[1:], **kw)
-
-
-INTERPOLATIONS = ("linear", "lower", "higher", "midpoint", "nearest")
-
-
-def quantile(c: Column, q: float = 0.5, interpolation: str = "linear") -> Column:
-    """Quantile of the values that are no null; between two neighbours by the named rule."""
-    if interpolation not in INTERPOLATIONS:
-        raise ValueError(f"interpolation must be one of {', '.join(INTERPOLATIONS)}")
-    if interpolation == "linear":
-        return F.percentile(c.cast("double"), F.lit(float(q)))
-    # percentile counts values, so that neighbours of a rank are percentiles at exact ranks: no list of values is built
-    n = F.count(c)
-    rank = F.lit(float(q)) * (n - 1)
-    at = lambda r: rank_value(c, r)
-    if interpolation == "lower":
-        return at(F.floor(rank))
-    if interpolation == "higher":
-        return at(F.ceil(rank))
-    if interpolation == "nearest":
-        return at(F.rint(rank).cast("long"))
-    return (at(F.floor(rank)) + at(F.ceil(rank))) / 2
-
-
-def rank_value(c: Column, rank: Column) -> Column:
-    return F.element_at(F.sort_array(F.collect_list(c.cast("double"))), rank.cast("int") + 1)
+        return self.quantile(arg, *args[1:], **kw)
 
 
 def plain(name: str, values: Any, *rest: Any, **kw: Any) -> Any:

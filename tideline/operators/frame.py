@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from tideline.functions import arrays
 from tideline.functions.sexpr import Alias, Compiler, Quoted, is_aggregate, names, parse
+from tideline.plans.shared import written
 from tideline.store.bounds import Interval
 from tideline.store.schema import Schema, records
 
@@ -116,6 +117,7 @@ def reduce_frame(df: DataFrame, order: list[str], columns: list[str] | tuple[str
     aggregated = [is_aggregate(form) or any(w in arrays.AGGREGATES for w in names(form)) for _, form, _ in items]
     keyed = any(aggregated) and not all(aggregated)
     compiler = Compiler(df, env, order, grouped=keyed)
+    compiler.ranked = []
     made = []
     for (text, form, alias), agg in zip(items, aggregated):
         value = compiler.eval(form)
@@ -125,10 +127,46 @@ def reduce_frame(df: DataFrame, order: list[str], columns: list[str] | tuple[str
         made.append((name, compiler.column(value).alias(name), agg))
     if not any(aggregated):
         return df.select(*(c for _, c, _ in made))
+    keys = [c for _, c, agg in made if not agg]
+    for i, (c, q, how) in enumerate(compiler.ranked):
+        df = with_quantile(df, keys, c, q, how, f"_q{i}")
     aggs = [c for _, c, agg in made if agg]
     if not keyed:
         return df.agg(*aggs).select(*(f"`{n}`" for n, _, _ in made))
-    return df.groupBy(*(c for _, c, agg in made if not agg)).agg(*aggs).select(*(f"`{n}`" for n, _, _ in made))
+    return df.groupBy(*keys).agg(*aggs).select(*(f"`{n}`" for n, _, _ in made))
+
+
+def quantile_ranks(df: DataFrame, keys: list[Column], value: Column, q: float, how: str) -> DataFrame:
+    """_k0, _k1, ..., _v: the value at a quantile's rank in each group, by lower, higher, midpoint or nearest.
+
+    Values are counted first, then spread by range and numbered within each range; ranges know what lies before them from their counts. So no
+    group lies in one task, however large. Nulls are skipped, a NaN is the largest value. Writes one table.
+    """
+    k = [f"_k{i}" for i in range(len(keys))]
+    counted = df.select(*(c.alias(n) for c, n in zip(keys, k)), value.cast("double").alias("_x")).where("_x is not null").groupBy(*k, "_x").agg(F.count(F.lit(1)).alias("_n"))
+    spread = written(counted.repartitionByRange(*k, "_x").withColumn("_p", F.spark_partition_id()), "ranks")
+    parts = spread.groupBy(*k, "_p").agg(F.sum("_n").alias("_s"))
+    by_key = W.partitionBy(*(k or [F.lit(1)]))  # as many rows as partitions
+    parts = parts.withColumn("_before", F.sum("_s").over(by_key.orderBy("_p").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_s")).withColumn("_all", F.sum("_s").over(by_key))
+    on = [*k, "_p"]
+    right = parts.select(*(F.col(c).alias(f"{c}_r") for c in on), "_before", "_all")
+    joined = spread.join(right, fold(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"{c}_r")) for c in on)))
+    upto = F.col("_before") + F.sum("_n").over(W.partitionBy(*on).orderBy("_x").rowsBetween(W.unboundedPreceding, W.currentRow))
+    rank = F.lit(float(q)) * (F.col("_all") - 1)
+    low, high = {"lower": (F.floor, F.floor), "higher": (F.ceil, F.ceil), "nearest": (F.rint, F.rint), "midpoint": (F.floor, F.ceil)}[how]
+    at = lambda r: F.max(F.when((r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_n")), F.col("_x")))
+    out = joined.withColumn("_upto", upto).groupBy(*k).agg(at(low(rank)).alias("_a"), at(high(rank)).alias("_b"))
+    return out.select(*k, F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise((F.col("_a") + F.col("_b")) / 2).alias("_v"))
+
+
+def with_quantile(df: DataFrame, keys: list[Column], value: Column, q: float, how: str, name: str) -> DataFrame:
+    """The rows with their group's quantile as a further column."""
+    found = quantile_ranks(df, keys, value, q, how)
+    if not keys:
+        got = found.first()
+        return df.withColumn(name, F.lit(got[0] if got else None).cast("double"))
+    on = fold(lambda a, b: a & b, (c.eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)))
+    return df.join(found.withColumnRenamed("_v", name), on, "left").select(*df.columns, name)
 
 
 def mask(df: DataFrame, expression: str, order: list[str] | None = None, env: dict | None = None) -> DataFrame:
@@ -180,7 +218,7 @@ def kv_delete(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
 def update_columns(old: DataFrame, new: DataFrame, schema: Schema) -> DataFrame:
     """``old`` with the columns of ``new`` taken over where the index agrees; rows of ``new`` before the first and after the last old one are added, with zero values where ``new`` has no column.
 
-    ValueError (after one action) if, between the first and the last old row, index values differ.
+    ValueError (after two actions) if, between the first and the last old row, index values differ.
     """
     idx = schema.idx
     given = [c for c in new.columns if c not in idx]
@@ -189,10 +227,12 @@ def update_columns(old: DataFrame, new: DataFrame, schema: Schema) -> DataFrame:
     on = fold(lambda a, b: a & b, (F.col(c) == F.col(f"_n_{c}") for c in idx))
     both = left.join(right, on, "full_outer")
     key = F.struct(*(F.coalesce(F.col(c), F.col(f"_n_{c}")).alias(c) for c in idx))
-    edges = old.agg(F.min(F.struct(*idx)).alias("a"), F.max(F.struct(*idx)).alias("b"))
-    apart = both.where("_old is null or _new is null").select(key.alias("k"), "_old").join(F.broadcast(edges))  # edges: one row
-    wrong = apart.where("_old is not null or (a is not null and k >= a and k <= b)")
-    if not wrong.isEmpty():
+    edges = old.agg(F.min(F.struct(*idx)).alias("a"), F.max(F.struct(*idx)).alias("b")).first()
+    apart = F.col("_old").isNotNull()
+    if edges.a is not None:
+        low, high = (F.struct(*(schema[c].literal(v).alias(c) for c, v in zip(idx, edge))) for edge in (edges.a, edges.b))
+        apart = apart | ((key >= low) & (key <= high))
+    if not both.where("_old is null or _new is null").where(apart).isEmpty():
         raise ValueError("the update's index differs from the stored one within its range")
     out = []
     for n, c in schema.columns.items():

@@ -328,6 +328,11 @@ def agg_group_quantile(spark, d):
     return items(spark, d).reduce("(as self.l_returnflag 'flag')", q="(quantile self.l_quantity 0.9)").df
 
 
+@query("select l_returnflag as flag, list_extract(list(l_extendedprice order by l_extendedprice), floor(0.25 * (count(*) - 1))::int + 1) / 2 as half from lineitem group by 1")
+def agg_group_quantile_lower(spark, d):
+    return items(spark, d).reduce("(as self.l_returnflag 'flag')", half="(/ (quantile self.l_extendedprice 0.25 'lower') 2)").df
+
+
 @query("select event_type, round(stddev_pop(value), 6) as sd, median(value) as med from events group by 1")
 def agg_array_functions(spark, d):
     f = events(spark, d)
