@@ -378,12 +378,12 @@ def event_store(spark, d):
 
 
 def correction(spark, d):
-    """Rows of label click strictly inside the span, every other one, with other values."""
-    return table(spark, d, "events").where(f"event_type = 'click' and event_id % 2 = 0 and ts > timestamp_ntz '{T1}' and ts < timestamp_ntz '{T2}'").select("ts", "event_id", (F.col("value") + 1000).alias("value"))
+    """Rows of label click strictly inside the span with small values, which come out larger."""
+    return table(spark, d, "events").where(f"event_type = 'click' and value < 20 and ts > timestamp_ntz '{T1}' and ts < timestamp_ntz '{T2}'").select("ts", "event_id", (F.col("value") + 1000).alias("value"))
 
 
 OVERWRITTEN = """select event_type as label, ts, event_id, value from events where not (event_type = 'click' and ts {low} timestamp '{a}' and ts {high} timestamp '{b}')
-union all select event_type, ts, event_id, value + 1000 from events where event_type = 'click' and event_id % 2 = 0 and ts > timestamp '{a}' and ts < timestamp '{b}'"""
+union all select event_type, ts, event_id, value + 1000 from events where event_type = 'click' and value < 20 and ts > timestamp '{a}' and ts < timestamp '{b}'"""
 for _c, _low, _high in (("b", ">=", "<="), ("l", ">=", "<"), ("r", ">", "<="), ("n", ">", "<")):
 
     def _overwrite(spark, d, closed=_c):
@@ -397,7 +397,7 @@ HISTORY = [("2024-01-03", "2024-01-12", "b"), ("2024-01-08", "2024-01-15", "l"),
 _values = ", ".join(f"({i + 1}, timestamp '{a}', timestamp '{b}', '{c}')" for i, (a, b, c) in enumerate(HISTORY))
 _inside = "e.ts >= w.a and e.ts <= w.b and (w.c in ('l', 'b') or e.ts > w.a) and (w.c in ('r', 'b') or e.ts < w.b)"
 HISTORY_SQL = f"""with w(seq, a, b, c) as (values {_values}),
-r as (select event_id, ts, value, 0 as seq from events union all select e.event_id, e.ts, e.value + w.seq * 1000, w.seq from events e join w on {_inside} where e.event_id % (w.seq + 1) = 0)
+r as (select event_id, ts, value, 0 as seq from events union all select e.event_id, e.ts, e.value + w.seq * 1000, w.seq from events e join w on {_inside} where e.value > w.seq * 3)
 select event_id, ts, value from r e where not exists (select 1 from w where w.seq > e.seq and {_inside})"""
 
 
@@ -408,7 +408,7 @@ def write_history_fold(spark, d):
     s = new_repo(spark).create_collection(Schema(ts="M8[us]*", event_id="int*", value="float"), "c") / "all"
     s.write(e)
     for i, (a, b, closed) in enumerate(HISTORY):
-        inside = ops.islice(e, s.schema, a, b, closed).where(F.col("event_id") % (i + 2) == 0)
+        inside = ops.islice(e, s.schema, a, b, closed).where(F.col("value") > (i + 1) * 3)
         s.write(inside.withColumn("value", F.col("value") + (i + 1) * 1000), start=a, stop=b, closed=closed)
     return s.df()
 
@@ -420,7 +420,7 @@ def write_history_relational(spark, d):
     schema = Schema(ts="M8[us]*", event_id="int*", value="float")
     rows = [e.withColumn("seq", F.lit(0))]
     for i, (a, b, closed) in enumerate(HISTORY):
-        rows.append(ops.islice(e, schema, a, b, closed).where(F.col("event_id") % (i + 2) == 0).withColumn("value", F.col("value") + (i + 1) * 1000).withColumn("seq", F.lit(i + 1)))
+        rows.append(ops.islice(e, schema, a, b, closed).where(F.col("value") > (i + 1) * 3).withColumn("value", F.col("value") + (i + 1) * 1000).withColumn("seq", F.lit(i + 1)))
     writes = spark.createDataFrame([("all", 0, None, None, "b")] + [("all", i + 1, a, b, c) for i, (a, b, c) in enumerate(HISTORY)], "label string, seq int, start string, stop string, closed string")
     writes = writes.select("label", "seq", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "closed")
     return visible(ops.concat(*rows), writes, "ts").select("event_id", "ts", "value")
@@ -441,23 +441,28 @@ def update_columns(spark, d):
     return s.df()
 
 
-UPSERT = "select c_custkey, case when c_custkey % 3 = 0 then c_acctbal + 1 else c_acctbal end as c_acctbal from customer union all select c_custkey + 10000000, c_acctbal from customer where c_custkey % 5 = 0"
+UPSERT = "select c_custkey, case when c_mktsegment = 'HOUSEHOLD' then c_acctbal + 1 else c_acctbal end as c_acctbal from customer union all select c_custkey + 10000000, c_acctbal from customer where c_acctbal < 0"
+
+
+def customers(spark, d):
+    """Balances, and those that change or are new."""
+    c = table(spark, d, "customer")
+    changed = c.where("c_mktsegment = 'HOUSEHOLD'").select("c_custkey", (F.col("c_acctbal") + 1).alias("c_acctbal"))
+    return c.select("c_custkey", "c_acctbal"), changed.union(c.where("c_acctbal < 0").select(F.col("c_custkey") + 10000000, "c_acctbal"))
 
 
 @query(UPSERT)
 def kv_upsert(spark, d):
     s = new_repo(spark).create_collection(Schema.kv(c_custkey="int*", c_acctbal="float"), "c") / "customers"
-    base = table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    base, new = customers(spark, d)
     s.write(base)
-    s.write(base.where("c_custkey % 3 = 0").select("c_custkey", (F.col("c_acctbal") + 1).alias("c_acctbal")).union(base.where("c_custkey % 5 = 0").select(F.col("c_custkey") + 10000000, "c_acctbal")))
+    s.write(new)
     return s.df()
 
 
 @query(UPSERT)
 def kv_upsert_relational(spark, d):
-    base = table(spark, d, "customer").select("c_custkey", "c_acctbal")
-    new = base.where("c_custkey % 3 = 0").select("c_custkey", (F.col("c_acctbal") + 1).alias("c_acctbal")).union(base.where("c_custkey % 5 = 0").select(F.col("c_custkey") + 10000000, "c_acctbal"))
-    return ops.kv_upsert(base, new, ["c_custkey"])
+    return ops.kv_upsert(*customers(spark, d), ["c_custkey"])
 
 
 @query("select c_custkey, c_acctbal from customer where c_custkey not in (5, 17, 100)")

@@ -24,13 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.operators.frame import Frame, kv_upsert, paged, tail, update_columns
-from tideline.store.bounds import Closed, Interval
+from tideline.store.bounds import Closed, Interval, ends_after
 from tideline.store.changelog import ROOT, Changelog, Revision, hextime
 from tideline.store.files import Files
 from tideline.store.manifest import Manifest, Segment
 from tideline.store.schema import HIGHEST, LOWEST, Schema, SchemaColumn
 
 PAGE = 500_000
+#: Segments, each two short texts, up to which their list is broadcast.
+BROADCAST_ROWS = 100_000
 #: Seconds that unreferenced data and old revisions are kept.
 TIMEOUT = 600
 
@@ -193,14 +195,15 @@ class Collection:
                 df = df.where(self._windows(some)) if any(not s.whole for s in some) else df
             else:
                 # a table that several labels show is read once and given out to each
-                rows = [(s.digest, s.label) for s in some]
-                cases = reduce(lambda a, b: a | b, ((F.col("_digest") == s.digest) & (F.col("_l") == s.label) & self._condition(s) for s in some))
-                if len({s.digest for s in some}) == len(rows) and all(s.whole for s in some):
-                    of = spark.createDataFrame(rows, "_digest string, _l string")
-                    df = df.join(of, "_digest")
-                else:
-                    of = spark.createDataFrame(sorted(set(rows)), "_digest string, _l string")
-                    df = df.join(of, "_digest").where(cases)
+                rows = sorted({(s.digest, s.label) for s in some})
+                of = spark.createDataFrame(rows, "_digest string, _l string")
+                df = df.join(F.broadcast(of) if len(rows) <= BROADCAST_ROWS else of, "_digest")
+                if len(some) > len(rows) or not all(s.whole for s in some):
+                    cut = [s for s in some if not s.whole]
+                    free = [F.struct(F.lit(s.digest), F.lit(s.label)) for s in some if s.whole]
+                    pair = F.struct(F.col("_digest"), F.col("_l"))
+                    shown = [(F.col("_digest") == s.digest) & (F.col("_l") == s.label) & self._condition(s) for s in cut]
+                    df = df.where(reduce(lambda a, b: a | b, [*([pair.isin(free)] if free else []), *shown]))
                 df = df.withColumnRenamed("_l", name)
             parts.append(df.select(*([F.col(name).alias("label")] if label and "label" not in self.schema.columns else [name] if label else []), *self.schema))
         if not parts:
@@ -222,8 +225,7 @@ class Collection:
         each = [(F.col("_digest") == d) & reduce(lambda a, b: a | b, (self._condition(s) for s in some)) for d, some in cut.items()]
         keep = reduce(lambda a, b: a | b, ([F.col("_digest").isin(whole)] if whole else []) + each)
         ordered = Manifest(self.schema, tuple(segments)).sorted().segments
-        stops = [s.interval for s in segments]
-        last = reduce(lambda a, b: b if Interval(a.stop, b.stop).empty is False and b.stop != a.stop or (b.stop == a.stop and b.closed.right) else a, stops)
+        last = reduce(lambda a, b: b if ends_after(b, a) else a, (s.interval for s in segments))
         hull = Interval(ordered[0].interval.start, last.stop, Closed.of(ordered[0].interval.closed.left, last.closed.right)).predicate(self.schema)
         return keep if hull is None else hull & keep
 
