@@ -105,7 +105,7 @@ class Mixture:
         ranked = placed.join(parts.withColumn("inner", inner), ["source", "n_tokens", "part"])
         rank = F.col("before") + F.col("inner") + F.row_number().over(W.partitionBy("source", "n_tokens", "part").orderBy("doc_id"))
         u = F.pmod(F.xxhash64("source", F.lit(self.seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-        df = ranked.withColumn("rank", rank).join(self.plan, "source")
+        df = ranked.withColumn("rank", rank).join(F.broadcast(self.plan), "source")  # made of the rows collected above
         crossed = F.floor(u + F.col("ratio") * F.col("rank")) - F.floor(u + F.col("ratio") * (F.col("rank") - 1))
         df = df.withColumn("n_copies", F.least(crossed, F.col("cap"))).where("n_copies > 0")
         return df.select("doc_id", "source", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int"))).alias("copy_no"))
