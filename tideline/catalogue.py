@@ -39,6 +39,11 @@ def p3_found(spark, d):
     return p3_grid(spark, d).where("missing").select("label", "period_start")
 
 
+def p3_observed(spark, d):
+    """The grid without what the smoother adds."""
+    return p3_grid(spark, d).select("label", "period_start", F.round("observed", 6).alias("observed"), "n_readings", "missing")
+
+
 def p4_found(spark, d):
     return rejects.rejected(table(spark, d, "csv_input")).select("file_no", "line_no", "reason")
 
@@ -51,5 +56,10 @@ def p5_found(spark, d):
     return spikes.faulty_readings(table(spark, d, "series_reading"), table(spark, d, "collection_info")).select("label", "epoch_s", "kind")
 
 
+def p5_limits_and_runs(spark, d):
+    """The faults that need no level."""
+    return p5_found(spark, d).where("kind <> 'spike'")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_compacted, p2_found, p2_changes, p3_found, p3_grid, p4_found, p4_loaded, p5_found)}
+    return {f.__name__: f for f in (p1_found, p1_compacted, p2_found, p2_changes, p3_found, p3_grid, p3_observed, p4_found, p4_loaded, p5_found, p5_limits_and_runs)}

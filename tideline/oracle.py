@@ -44,16 +44,29 @@ g as (select label, period_s, unnest(generate_series(min(k), max(k))) as k from
 select g.label, (g.k * g.period_s)::bigint as period_start from g
 where not exists (select 1 from valued v where v.label = g.label and v.k = g.k)"""
 
+P3_OBSERVED = f"""with {HELD},
+c as (select label, k, count(*)::int as n, round(avg(v) filter (where not isinf(v)), 6) as observed from valued group by 1, 2),
+g as (select label, period_s, unnest(generate_series(min(k), max(k))) as k from valued group by 1, 2)
+select g.label, (g.k * g.period_s)::bigint as period_start, c.observed, coalesce(c.n, 0) as n_readings, c.n is null as missing
+from g left join c on c.label = g.label and c.k = g.k"""
+
+P5_LIMITS_AND_RUNS = f"""with {HELD},
+e as (select label, t, v, low, high, v is not distinct from lag(v) over w as same, lag(v) over w is not null as paired from valued window w as (partition by label order by t)),
+r as (select *, sum(case when same then 0 else 1 end) over (partition by label order by t) as run from e),
+s as (select *, count(*) over (partition by label, run) as size, 2 * sum(same::int) over (partition by label) > sum(paired::int) over (partition by label) as steady from r)
+select label, t as epoch_s, case when v < low or v > high or isinf(v) then 'impossible' else 'stuck' end as kind
+from s where v < low or v > high or isinf(v) or (size >= 8 and not steady)"""
+
 P4_BASE = r"""with rows_ as (
-    select file_no, line_no, max(regexp_replace(regexp_replace(line, '\r+$', ''), '^\x{FEFF}', '')) as line from csv_input group by 1, 2),
+    select file_no, line_no, any_value(label) as label, max(regexp_replace(regexp_replace(line, '\r+$', ''), '^\x{FEFF}', '')) as line from csv_input group by 1, 2),
 heads as (select file_no, list_transform(string_split(line, ','), lambda x: lower(trim(replace(x, '"', '')))) as names from rows_ where line_no = 1),
 l as (
-    select r.file_no, r.line_no, r.line, h.names,
+    select r.file_no, r.line_no, r.label, r.line, h.names,
            regexp_full_match(r.line, '([^",]*|"([^"]|"")*")(,([^",]*|"([^"]|"")*"))*') as good,
            regexp_extract_all(r.line || ',', '("([^"]|"")*"|[^",]*),', 1) as cells
     from rows_ r left join heads h using (file_no) where r.line_no > 1),
 c as (
-    select file_no, line_no, case
+    select *, case
         when not coalesce(good, true) then 'quoting'
         when line is null or trim(line) = '' or len(cells) <> len(names) then 'columns'
         when not regexp_full_match(trim(replace(cells[list_position(names, 'timestamp')], '"', '')), '\d{4}-\d{2}-\d{2}([T ]([01]\d|2[0-3]):[0-5]\d(:[0-5]\d)?)?')
@@ -63,6 +76,14 @@ c as (
         end as reason from l)"""
 P4_FOUND = P4_BASE + " select file_no, line_no::bigint as line_no, reason from c where reason is not null"
 
+_CELL = """case when list_position(names, '{0}') is null then null when starts_with(cells[list_position(names, '{0}')], '"')
+    then replace(substr(cells[list_position(names, '{0}')], 2, length(cells[list_position(names, '{0}')]) - 2), '""', '"') else cells[list_position(names, '{0}')] end"""
+P4_LOADED = (
+    P4_BASE
+    + f" select file_no, line_no::bigint as line_no, label, cast(replace(trim({_CELL.format('timestamp')}), 'T', ' ') as timestamp) as timestamp, cast(trim({_CELL.format('value')}) as double) as value,"
+    + f" {_CELL.format('category')} as category, {_CELL.format('note')} as note from c where reason is null"
+)
+
 
 def sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_compacted": P1_COMPACTED, "p2_found": P2_FOUND, "p2_changes": P2_CHANGES, "p3_found": P3_FOUND, "p4_found": P4_FOUND}
+    return {"p1_found": P1_FOUND, "p1_compacted": P1_COMPACTED, "p2_found": P2_FOUND, "p2_changes": P2_CHANGES, "p3_found": P3_FOUND, "p3_observed": P3_OBSERVED, "p4_loaded": P4_LOADED, "p5_limits_and_runs": P5_LIMITS_AND_RUNS, "p4_found": P4_FOUND}
