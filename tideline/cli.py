@@ -31,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
 
     def command(name: str, *args: str, **options):
-        c = sub.add_parser(name)
+        c = sub.add_parser(name, aliases={"length": ["len"], "delete": ["del"]}.get(name, []))
         for a in args:
             if a[-1] in "?*":
                 c.add_argument(a[:-1], nargs=a[-1])
@@ -76,7 +76,7 @@ def run(spark: SparkSession, argv: list[str], out=sys.stdout, text=None) -> int:
         c = collection(c)
         return c / one(c.ls(), label, "series")
 
-    command = args.command
+    command = {"len": "length", "del": "delete"}.get(args.command, args.command)
     chosen = getattr(args, "collection", None)
     some = [collection(x) for x in chosen] if isinstance(chosen, list) and chosen else list(repo) if isinstance(chosen, list) else []
     if command == "read":

@@ -262,6 +262,7 @@ class Collection:
         labelled = Schema(**{"_label": SchemaColumn("_label", "str", True), **self.schema.columns})
         have = {f.name: f.dataType for f in df.schema}
         typed = df.select(F.col(label_column).cast("string").alias("_label"), *(c.cast(F.col(f"`{n}`"), have[n]).alias(n) for n, c in self.schema.columns.items())).where("_label is not null")
+        typed = typed.select("*", F.when(holes(self.schema), F.raise_error(F.lit("a row has a null in the index"))).alias("_check")).where("_check is null").drop("_check")
         stored = self.repo.store_labelled(labelled, typed)
         return self.put([Segment(label, Interval(first, last), digest, n) for label, first, last, digest, n in stored])
 
@@ -517,13 +518,16 @@ class Repo:
         seen = Observation()
         h = F.xxhash64(*(F.col(f"`{n}`") for n in schema))
         idx = F.struct(*(F.col(f"`{n}`") for n in schema.idx))
-        df = df.observe(seen, F.count(F.lit(1)).alias("n"), F.min(idx).alias("a"), F.max(idx).alias("b"), *checksums(h))
+        df = df.observe(seen, F.count(F.lit(1)).alias("n"), F.min(idx).alias("a"), F.max(idx).alias("b"), F.count_if(holes(schema)).alias("holes"), *checksums(h))
         aside = f"_writing/{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(self.files.uri(aside))
         m = seen.get
         if not m["n"]:
             self.files.remove(aside)
             return Stored("", 0, None, None)
+        if m["holes"]:
+            self.files.remove(aside)
+            raise ValueError(f"{m['holes']} rows have a null in the index")
         digest = hashlib.sha1(f"{schema.dumps()}|{m['n']}|{m['s']}|{m['u']}|{m['x']}".encode()).hexdigest()
         if self.files.exists(f"data/{digest}"):
             self.files.remove(aside)
@@ -575,6 +579,11 @@ class Repo:
         return hard, soft
 
 
+def holes(schema: Schema) -> Column:
+    """Whether a row lacks an index value: it has no place in a series."""
+    return reduce(lambda a, b: a | b, (F.col(f"`{n}`").isNull() for n in schema.idx))
+
+
 def checksums(h: Column) -> list[Column]:
     """Sums of two parts of a hash, short enough for 10^11 rows, and its exclusive or: the same for the same rows in any order and any number of copies."""
     return [F.sum(h.bitwiseAND(F.lit(0xFFFFFF))).alias("s"), F.sum(F.shiftrightunsigned(h, 40)).alias("u"), F.bit_xor(h).alias("x")]
