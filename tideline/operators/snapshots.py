@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from tideline.plans.shared import new_path
 
 KEYS = ["label", "start"]
+#: Keys of a snapshot for each bucket, about.
+BUCKET = 50_000
 
 
 def tidy_label(c: Column) -> Column:
@@ -89,7 +91,8 @@ def snapshot_changes(snapshots: DataFrame, buckets: int | None = None) -> DataFr
     schema = "label string, start long, stop long, digest string, snapshot_no long"
     rows = spark.read.schema(schema).parquet(path)
     numbers = sorted(r[0] for r in snapshots.where("snapshot_no is not null").select(F.col("snapshot_no").cast("long")).distinct().collect())
-    index = SnapshotIndex(spark, buckets)
+    largest = rows.groupBy("snapshot_no").count().agg(F.max("count")).first()[0] or 0
+    index = SnapshotIndex(spark, buckets or max(1, min(4096, -(-largest // BUCKET))))
     changes = []
     for number in numbers:
         found = index.load(rows.where(F.col("snapshot_no") == number).drop("snapshot_no"))
