@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.plans.blocks import in_blocks, ints, versions, whole_groups
+from tideline.plans.shared import ship
 
 PERIODS, HALO = 4096, 512
 #: Innovations beyond so many standard deviations have their variance raised, so that spikes don't bend the level.
@@ -186,6 +187,7 @@ def regular_grid(readings: DataFrame, info: DataFrame, periods: int = PERIODS, h
     A block sees ``halo`` periods of its neighbours, beyond which a reading no longer moves the level noticeably; in a pause longer than that which
     crosses an edge the fill follows the nearer side, and ``sd`` says so.
     """
+    ship(readings.sparkSession)
     rows = versions(readings, info)
     block = F.explode(F.sequence(F.floor(F.col("first_k") / periods), F.floor(F.col("last_k") / periods)))
     markers = spans(rows).select("label", "period_s", "first_k", "last_k", block.alias("block"), F.lit(periods).cast("long").alias("periods"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.plans.blocks import in_blocks, ints, versions, whole_groups
-from tideline.plans.shared import written
+from tideline.plans.shared import ship, written
 
 #: Columns of a profile at most, cells of a block about, periods of a neighbour's readings that a block sees.
 COLUMNS, CELLS, HALO = 288, 4608, 256
@@ -195,7 +195,7 @@ def faulty_readings(readings: DataFrame, info: DataFrame) -> DataFrame:
     DEPARTURE times the label's scatter. A label most of whose readings equal the one before has neither stuck readings nor spikes. Versions,
     ties and readings left out are those of versions(); null and NaN values are skipped. A limit that is null does not limit. An empty table gives no rows.
     """
-    spark = readings.sparkSession
+    ship(readings.sparkSession)
     slots = F.greatest(F.lit(1), F.floor(F.lit(86400) / F.col("period_s")))
     columns = F.floor(slots / F.ceil(slots / COLUMNS))
     rows = versions(readings, info).withColumn("columns", columns)
