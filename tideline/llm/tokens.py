@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideline.plans.shared import ship
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 LETTER, NUMBER, BLANK, SPACE, OTHER, SHORT, LONG, EDGE = range(8)
@@ -265,6 +267,7 @@ def _mapped(df: DataFrame, id_column: str, text_column: str, extra: str, make):
         for batch in batches:
             yield make(batch.column(0), ["" if t is None else t for t in batch.column(1).to_pylist()])
 
+    ship(df.sparkSession)
     return df.select(F.col(id_column), F.col(text_column).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
@@ -307,4 +310,5 @@ def decoded(ids: DataFrame, vocabulary: str = VOCABULARY, id_column: str = "doc_
             texts = [enc.decode(i or []).decode("utf-8", "replace") for i in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_column, "text"])
 
+    ship(ids.sparkSession)
     return ids.select(id_column, "ids").mapInArrow(run, schema)
