@@ -130,6 +130,21 @@ def test_as_tz_over_the_years(spark):
             assert r.local == r.t.replace(tzinfo=dt.timezone.utc).astimezone(ZoneInfo(zone)).replace(tzinfo=None)
 
 
+def test_clock_changes_of_the_session_do_not_matter(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    data = {"t": ["2023-03-26T02:30:15", "2023-10-29T02:59:59", "1969-12-31T23:59:59"]}
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Brussels")
+        f = Frame.create(spark, Schema(t="timestamp*"), data)
+        f.env["zero"] = dt.datetime(1970, 1, 1)
+        for r in f.reduce("t", secs="(- self.t zero)", back="(+ zero (- self.t zero))", **{u: f"(floor self.t '{u}')" for u in "YMWDhms"}).df.collect():
+            assert r.secs == (r.t - dt.datetime(1970, 1, 1)).total_seconds() and r.back == r.t and str(r.t).replace(" ", "T") in data["t"]
+            assert (r.Y, r.M, r.D) == (r.t.replace(month=1, day=1, hour=0, minute=0, second=0), r.t.replace(day=1, hour=0, minute=0, second=0), r.t.replace(hour=0, minute=0, second=0))
+            assert (r.h, r.m, r.s) == (r.t.replace(minute=0, second=0), r.t.replace(second=0), r.t) and r.W.weekday() == 0 and 0 <= (r.t - r.W).days < 7
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_running(frame, spark):
     f = Frame.create(spark, Schema(x="int*", v="int"), {"x": [3, 1, 2], "v": [30, 10, 20]})
     assert [(r.x, r.c, r.d) for r in f.reduce("x", c="(cumsum self.v)", d="(diff self.v)").sorted("x").df.collect()] == [(1, 10, None), (2, 30, 10), (3, 60, 10)]

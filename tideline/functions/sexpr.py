@@ -273,7 +273,7 @@ def subtract(self: Compiler, a: Any, b: Any) -> Any:
     if is_time(ka) and is_time(kb):
         if isinstance(ka, T.DateType) and isinstance(kb, T.DateType):
             return F.date_diff(ca, cb).cast("long")
-        return F.timestamp_diff("SECOND", cb, ca)
+        return times.elapsed(cb, ca)
     if is_time(ka):
         return moved(ca, ka, -cb)
     return ca - cb

@@ -12,13 +12,32 @@ UNITS = {"Y": "YEAR", "M": "MONTH", "W": "WEEK", "D": "DAY", "h": "HOUR", "m": "
 PREFIXES = "yzafpnum_kMGTPEZY"
 
 
+def truncated(t: Column, unit: str) -> Column:
+    """As floor(), for a time without zone. From its date and clock, since date_trunc would pass through the session's zone and its clock changes."""
+    day = t.cast("date")
+    if unit in "YMW":
+        return F.trunc(day, UNITS[unit]).cast("timestamp_ntz")
+    clock = {"D": (), "h": ("hour",), "m": ("hour", "minute"), "s": ("hour", "minute", "second")}[unit]
+    start = day.cast("timestamp_ntz")
+    return start + F.make_dt_interval(hours=F.hour(t) if "hour" in clock else F.lit(0), mins=F.minute(t) if "minute" in clock else F.lit(0), secs=F.second(t).cast("decimal(18,6)") if "second" in clock else F.lit(0).cast("decimal(18,6)")) if clock else start
+
+
+def elapsed(start: Column, stop: Column, unit: str = "1 second") -> Column:
+    """Whole units from one time without zone to another, whatever the session's zone is; timestamp_diff would count its clock changes."""
+    return F.call_function("div", stop.cast("timestamp_ntz") - start.cast("timestamp_ntz"), F.expr(f"interval '{unit.split()[0]}' {unit.split()[1]}"))
+
+
+def since_1970(t: Column, unit: str = "1 second") -> Column:
+    return elapsed(F.lit("1970-01-01 00:00:00"), t, unit)
+
+
 def floor(c: Column, unit: str) -> Column:
     """The beginning of the year, month, week (Monday), day, hour, minute or second of a time."""
     if unit not in UNITS:
         raise ValueError(f"unit must be one of {', '.join(UNITS)}")
     if not isinstance(c, Column):
         return c
-    out = F.date_trunc(UNITS[unit], c.cast("timestamp_ntz")).cast("timestamp_ntz")
+    out = truncated(c.cast("timestamp_ntz"), unit)
     try:
         out._floor_of = (c, unit)  # lets a comparison with a constant become a range on the column itself
     except AttributeError:
@@ -89,7 +108,7 @@ def hexdigest(c: Column) -> Column:
 
 def hextime(c: Column) -> Column:
     """Milliseconds since 1970 of a time as eleven hexadecimal digits."""
-    ms = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c.cast("timestamp_ntz"))
+    ms = since_1970(c, "0.001 second")
     return F.lpad(F.lower(F.hex(ms)), 11, "0")
 
 

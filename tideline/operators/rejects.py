@@ -50,7 +50,7 @@ def fields(line: Column) -> Column:
 
 def as_time(text: Column) -> Column:
     """The timestamp of a text, or null if it names no existing one."""
-    return F.when(text.rlike(TIME), F.try_to_timestamp(F.replace(text, F.lit("T"), F.lit(" "))).cast("timestamp_ntz"))
+    return F.when(text.rlike(TIME), F.replace(text, F.lit("T"), F.lit(" ")).try_cast("timestamp_ntz"))
 
 
 def as_number(text: Column) -> Column:

@@ -16,15 +16,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.functions.times import since_1970
+
 #: Sorts before every real publication time.
 NO_PUBTIME = -(2**60)
 
 
-def epoch_s(c: Column) -> Column:
-    """Seconds since 1970 of a timestamp without zone, whatever the session's zone is."""
-    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c.cast("timestamp_ntz"))
-
-
 def versions(readings: DataFrame, info: DataFrame) -> DataFrame:
     """label, period_s, low, high, t, ver, value of every reading that has a label, a time and a known collection.
 
@@ -34,7 +31,7 @@ def versions(readings: DataFrame, info: DataFrame) -> DataFrame:
     """
     info = info.where("collection is not null and period_s > 0").groupBy("collection").agg(F.min(F.struct(F.col("period_s").cast("long").alias("period_s"), F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"))).alias("i"))
     value = F.when(~F.isnan("value"), F.col("value"))
-    read = readings.select("collection", "label", epoch_s(F.col("timestamp")).alias("t"), F.coalesce(epoch_s(F.col("pubtime")), F.lit(NO_PUBTIME)).alias("pub"), value.cast("double").alias("value")).where("label is not null and t is not null")
+    read = readings.select("collection", "label", since_1970(F.col("timestamp")).alias("t"), F.coalesce(since_1970(F.col("pubtime")), F.lit(NO_PUBTIME)).alias("pub"), value.cast("double").alias("value")).where("label is not null and t is not null")
     return read.join(info, "collection").select("label", "i.period_s", "i.low", "i.high", "t", (F.col("pub") * 2 + F.col("value").isNotNull().cast("long")).alias("ver"), "value")
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideline.functions.times import since_1970, truncated
+
 #: Named types and, besides them, the array-style codes that stand for the same; unsigned ones take the next wider signed type.
 TYPES: dict[str, T.DataType] = {
     "timestamp": T.TimestampNTZType(),
@@ -93,7 +95,7 @@ class SchemaColumn:
                 base = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
                 return base + F.make_dt_interval(secs=c.cast("decimal(18,6)"))
             c = c.cast("timestamp_ntz")
-            return F.date_trunc("SECOND", c).cast("timestamp_ntz") if self.whole_seconds else c
+            return truncated(c, "s") if self.whole_seconds else c
         if isinstance(self.spark, T.DateType) and numeric:
             return F.date_from_unix_date(c.cast("int"))
         if isinstance(self.spark, T.StringType) and isinstance(kind, (T.StructType, T.MapType, T.ArrayType)):
@@ -285,7 +287,7 @@ def records(df: DataFrame, style: str | None = "default"):
 
 def epoch(c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.TimestampNTZType):
-        return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
+        return since_1970(c)
     if isinstance(kind, T.DateType):
         return F.unix_date(c).cast("long") * 86400
     return c
