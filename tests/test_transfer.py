@@ -110,3 +110,24 @@ def test_core_needs_no_texts():
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert "tideline.llm" not in f.read_text() and "from .llm" not in f.read_text()
+
+
+def test_workers_need_no_installation(tmp_path):
+    """From another folder and without PYTHONPATH, as on a cluster, the package travels with the plan."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys; sys.path.insert(0, {str(Path(__file__).resolve().parent.parent)!r})
+from pyspark.sql import SparkSession
+from tideline.operators.grid import regular_grid
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+r = spark.sql("select 'c' collection, 'x' label, timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(0, 0, 0, 20 * id) timestamp, timestamp_ntz'2020-01-02 00:00:00' pubtime, 1.0D value from range(3)")
+i = spark.sql("select 'c' collection, 10 period_s, 'm' unit, 0.0D low, 9.0D high")
+print("rows", regular_grid(r, i).count(), regular_grid(r, i).where("missing").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert "rows 5 2" in done.stdout, done.stderr[-2000:]
