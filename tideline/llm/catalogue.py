@@ -33,6 +33,11 @@ def p7_shares(spark, d):
     return Mixture(table(spark, d, "documents"), table(spark, d, "mix_target")).shares
 
 
+def p7_available(spark, d):
+    """What each target could draw on."""
+    return p7_shares(spark, d).select("source", "weight", "max_repeat", "documents", F.round("target_share", 9).alias("target_share"))
+
+
 def p7_exact_shares(spark, d):
     """Every source that has documents at its exact share, whatever total that leaves."""
     return Mixture(table(spark, d, "documents"), table(spark, d, "mix_target"), shortfall=0).shares
@@ -49,8 +54,12 @@ def p8_clean(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_ids, p6_roundtrip, p7_mix, p7_shares, p7_exact_shares, p8_found, p8_clean)}
+    return {f.__name__: f for f in (p6_ids, p6_roundtrip, p7_mix, p7_shares, p7_exact_shares, p7_available, p8_found, p8_clean)}
 
 
 def sql() -> dict[str, str]:
-    return {"p6_roundtrip": "select doc_id, coalesce(text, '') as text from documents"}
+    tidy = "nullif(regexp_replace(lower(trim(source)), '[\\s_-]+', '_', 'g'), '')"
+    available = f"""with t as (select {tidy} as source, max(weight) as weight, arg_max(max_repeat, weight)::bigint as max_repeat from mix_target group by 1),
+    d as (select {tidy} as source, count(*) as documents from documents group by 1)
+    select t.source, t.weight, t.max_repeat, coalesce(d.documents, 0) as documents, round(t.weight / sum(t.weight) over (), 9) as target_share from t left join d using (source)"""
+    return {"p6_roundtrip": "select doc_id, coalesce(text, '') as text from documents", "p7_available": available}
