@@ -46,3 +46,19 @@ def test_tree():
     p = re.compile(tree(words))
     assert all(p.search(w) for w in words) and not p.search("ab b")
     assert re.compile(message_pattern()).search(squeeze("Wait 5 seconds and reload the page."))
+
+
+def test_alternating_columns(spark):
+    """A message wrapped over the lines of one column, the lines of other columns in between."""
+    first = ["The brass band", "bought 40 tons of", "coal. Access", "denied. You do not have per-", "mission to view this page,", "said nobody."]
+    others = [["Mr. Fox sold", "two horses and", "left the fair", "before noon."], ["The mill", "burned", "down"]]
+    placed = sorted((y, 40 + 500 * c, line) for c, column in enumerate([first, *others]) for y, line in enumerate(column))
+    box = lambda x, y: (x + y % 3, 30 * y, 330, 20, None)
+    wrapped, boxes = "\n".join(line for _, _, line in placed), [box(x, y) for y, x, _ in placed]
+    pair = "\n".join(line for two in zip(first, ["a b", "c d", "e f", "g h", "i j", "k l"]) for line in two)
+    schema = "doc_id long, text string, line_box array<struct<x int, y int, w int, h int, conf float>>"
+    data = [(1, wrapped, boxes), (2, pair, []), (3, pair, None), (4, wrapped.replace("denied", "granted").replace("mission", "mit"), boxes), (5, None, None), (6, "", [])]
+    found = lambda df: sorted(r.doc_id for r in residue(df).where("message is not null").collect())
+    df = spark.createDataFrame(data, schema)
+    assert found(df) == [1, 2, 3]
+    assert found(df.where("doc_id in (2, 3, 4)").drop("line_box")) == [2, 3]

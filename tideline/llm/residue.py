@@ -54,6 +54,9 @@ EDITORIAL = "sic torn illegible missing unreadable blank unleserlich unlesbar fe
 #: Before a placeholder these say that it is talked about, not left over.
 TAUGHT = ("for example", "for instance", "such as", "syntax", "zum beispiel", "par exemple", "bijvoorbeeld")
 
+#: Columns whose lines may alternate in a text without boxes.
+INTERLEAVED = 8
+
 
 def fold(text: str) -> str:
     """The same folding as folded(), for patterns."""
@@ -143,32 +146,62 @@ def placeholder_pattern() -> str:
     return r"(?=[\[{<%$#@«_(&}])(?:" + "|".join(grammars) + ")"
 
 
-def readings(text: Column) -> Column:
-    """The text as printed, then, where lines hold several columns, each of up to four and the last ones; in lower case, broken words joined, single blanks."""
+def let(value: Column, f) -> Column:
+    """f(value), computed once however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def in_columns(lines: Column, column) -> Column:
+    """The lines put together column by column; column(i) is the column of line i. Null if that is their order anyway."""
+    placed = F.transform(lines, lambda x, i: F.struct(column(i).alias("column"), i.alias("i"), x.alias("line")))
+    ordered = let(placed, lambda p: let(F.sort_array(p), lambda s: F.when(s != p, F.array_join(F.transform(s, lambda x: x["line"]), "\n"))))
+    return ordered
+
+
+def boxed(lines: Column, boxes: Column) -> Column:
+    """The lines by the column that their box lies in. A column starts where left edges leave a gap of more than half the usual width of a line."""
+    gap = F.get(F.array_sort(F.transform(boxes, lambda b: b["w"])), F.floor(F.size(boxes) / 2).cast("int")) / 2
+    edges = F.array_sort(F.array_distinct(F.transform(boxes, lambda b: b["x"])))
+    starts = let(F.struct(gap.alias("gap"), edges.alias("edges")), lambda g: F.filter(g["edges"], lambda x, i: (i == 0) | (x - F.get(g["edges"], i - 1) > g["gap"])))
+    return let(starts, lambda s: F.when(F.size(s) > 1, in_columns(lines, lambda i: F.size(F.filter(s, lambda x: x <= F.get(boxes, i)["x"])))))
+
+
+def regrouped(text: Column, boxes: Column | None) -> Column:
+    """The text column by column where its columns alternate line by line; null where they don't. Without a box for every line, every n-th line is read, for each n up to INTERLEAVED."""
+    lines = F.split(text, "\n")
+    strides = lambda x: F.concat_ws("\n\n", *[F.when(F.size(x) > n, in_columns(x, lambda i, n=n: i % n)) for n in range(2, INTERLEAVED + 1)])
+    if boxes is None:
+        return let(lines, strides)
+    return let(lines, lambda x: F.when(F.size(x) == F.size(boxes), boxed(x, boxes)).otherwise(strides(x)))
+
+
+def readings(text: Column, boxes: Column | None = None) -> Column:
+    """The text as printed, then column by column where they alternate line by line, then, where lines hold several columns, each of up to four and the last ones; in lower case, broken words joined, single blanks."""
     pieces = F.transform(F.split(text, r"\r?\n"), lambda x: F.split(F.trim(x), " {2,}"))
     columns = [F.array_join(F.transform(pieces, lambda p, at=at: F.coalesce(F.get(p, at), F.lit(""))), "\n") for at in (F.lit(0), F.lit(1), F.lit(2), F.lit(3))]
     last = F.array_join(F.transform(pieces, lambda p: F.element_at(p, -1)), "\n")
-    whole = F.when(text.rlike(r"\S {2,}\S"), F.concat_ws("\n\n", text, *columns, last)).otherwise(text)
+    side = F.when(text.rlike(r"\S {2,}\S"), F.concat_ws("\n\n", *columns, last))
+    whole = F.concat_ws("\n\n", text, regrouped(text, boxes), side)
     joined = F.regexp_replace(whole, "[-\\u00AD\\u2010=\\u00AC][ \\t]*\\r?\\n\\s*", "")
     return F.lower(F.regexp_replace(joined, r"[\s ]+", " "))
 
 
-def residue(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def residue(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", box_column: str = "line_box") -> DataFrame:
     """id, placeholder, message: what gave a text away, null where nothing did; one row per row of ``documents``.
 
     Text between code fences or <code> tags and placeholders that are introduced as examples are no residue, unless three or more placeholders stand in
-    1,000 characters. Null and empty texts have nothing. Texts are searched whole; no shuffle. An empty table gives no rows.
+    1,000 characters. Lines of columns that alternate are put together by ``box_column`` (x and w, one box for each line split at "\\n") if the table has it. Null and empty texts have nothing. Texts are searched whole; no shuffle. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    df = documents.select(F.col(id_column), folded(readings(text)).alias("read"))
+    df = documents.select(F.col(id_column), folded(readings(text, F.col(box_column) if box_column in documents.columns else None)).alias("read"), F.length(text).alias("printed"))
     coded = rf"```[^`]*```|<{fold('code')}>[^<]*</{fold('code')}>|<{fold('pre')}>[^<]*</{fold('pre')}>"
     plain = F.regexp_replace("read", coded, " ")
     squeezed = F.regexp_replace("read", r"[^\p{L}\p{N}]+", "")
     found = placeholder_pattern()
     taught = rf"(?:{'|'.join(fold(w) for w in TAUGHT)})[^.]{{0,40}}$"
-    df = df.select(id_column, plain.alias("plain"), squeezed.alias("squeezed"), F.length("read").alias("n"))
+    df = df.select(id_column, plain.alias("plain"), squeezed.alias("squeezed"), F.length("read").alias("n"), "printed")
     df = df.withColumn("first", F.regexp_extract("plain", found, 0))
-    many = F.size(F.regexp_extract_all("plain", F.lit(f"({found})"), F.lit(1))) * 1000 >= 3 * F.greatest(F.col("n"), F.lit(1000))
+    many = F.size(F.regexp_extract_all("plain", F.lit(f"({found})"), F.lit(1))) * 1000 >= 3 * F.greatest(F.col("n"), 1000 * F.greatest(F.lit(1), F.col("n") / F.col("printed")))
     before = F.expr("substring(plain, greatest(1, locate(first, plain) - 80), least(80, locate(first, plain) - 1))")
     placeholder = F.when((F.col("first") != "") & (~before.rlike(taught) | many), F.col("first"))
     exes = r"(?:\bx{3,}[ .,]*){3,}"
