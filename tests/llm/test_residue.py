@@ -62,3 +62,10 @@ def test_alternating_columns(spark):
     df = spark.createDataFrame(data, schema)
     assert found(df) == [1, 2, 3]
     assert found(df.where("doc_id in (2, 3, 4)").drop("line_box")) == [2, 3]
+
+
+def test_every_placeholder_is_judged(spark):
+    taught, far = "Write the tag, for example {{name}}, in the sheet. ", "The council met again. " * 100
+    data = [taught + far + "{{headline}}", taught + far, "A mark such as [[caption]] or {{ issue.volume }} helps. " + far, taught + far + "[[caption]]", far + taught.replace("name", "name_of_the_editor_and_all_of_the_staff"), taught + taught.replace("{{name}}", "%%name%%") + far * 2]
+    df = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in residue(df).where("placeholder is not null").collect()) == [0, 3]

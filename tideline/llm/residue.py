@@ -54,6 +54,8 @@ EDITORIAL = "sic torn illegible missing unreadable blank unleserlich unlesbar fe
 #: Before a placeholder these say that it is talked about, not left over.
 TAUGHT = ("for example", "for instance", "such as", "syntax", "zum beispiel", "par exemple", "bijvoorbeeld")
 
+#: What every placeholder begins with, or the end of one whose beginning is lost.
+DELIMITERS = r"[\[{<%$#@«_(&}]"
 #: Columns whose lines may alternate in a text without boxes.
 INTERLEAVED = 8
 
@@ -143,7 +145,13 @@ def placeholder_pattern() -> str:
         rf"\[(?:{f('platzhalter')}|{f('placeholder')})\b",
         rf"\((?:{f('enter')}|{f('insert')}) {name}\)",
     ]
-    return r"(?=[\[{<%$#@«_(&}])(?:" + "|".join(grammars) + ")"
+    return rf"(?={DELIMITERS})(?:" + "|".join(grammars) + ")"
+
+
+def introduced_pattern() -> str:
+    """A placeholder, with the end of its double braces, after words that say it is an example. The delimiter is looked for first, so that looking behind is rare."""
+    taught = "|".join(fold(w) for w in TAUGHT)
+    return rf"(?={DELIMITERS})(?<=(?:{taught})[^.]{{0,40}})(?:\}}\}}|{placeholder_pattern()}(?:(?<=\{{\{{[^{{}}]{{0,3}})[^{{}}\[\]<>%$«]*\}}\}})?)"
 
 
 def let(value: Column, f) -> Column:
@@ -189,7 +197,7 @@ def readings(text: Column, boxes: Column | None = None) -> Column:
 def residue(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", box_column: str = "line_box") -> DataFrame:
     """id, placeholder, message: what gave a text away, null where nothing did; one row per row of ``documents``.
 
-    Text between code fences or <code> tags and placeholders that are introduced as examples are no residue, unless three or more placeholders stand in
+    Text between code fences or <code> tags and placeholders that are introduced as examples are no residue, each judged by the words before it, unless three or more placeholders stand in
     1,000 characters. Lines of columns that alternate are put together by ``box_column`` (x and w, one box for each line split at "\\n") if the table has it. Null and empty texts have nothing. Texts are searched whole; no shuffle. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
@@ -198,12 +206,11 @@ def residue(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     plain = F.regexp_replace("read", coded, " ")
     squeezed = F.regexp_replace("read", r"[^\p{L}\p{N}]+", "")
     found = placeholder_pattern()
-    taught = rf"(?:{'|'.join(fold(w) for w in TAUGHT)})[^.]{{0,40}}$"
     df = df.select(id_column, plain.alias("plain"), squeezed.alias("squeezed"), F.length("read").alias("n"), "printed")
     df = df.withColumn("first", F.regexp_extract("plain", found, 0))
     many = F.size(F.regexp_extract_all("plain", F.lit(f"({found})"), F.lit(1))) * 1000 >= 3 * F.greatest(F.col("n"), 1000 * F.greatest(F.lit(1), F.col("n") / F.col("printed")))
-    before = F.expr("substring(plain, greatest(1, locate(first, plain) - 80), least(80, locate(first, plain) - 1))")
-    placeholder = F.when((F.col("first") != "") & (~before.rlike(taught) | many), F.col("first"))
+    left = F.regexp_extract(F.regexp_replace("plain", introduced_pattern(), " "), found, 0)
+    placeholder = F.when(F.col("first") != "", F.when(many, F.col("first")).when(left != "", left))
     exes = r"(?:\bx{3,}[ .,]*){3,}"
     message = F.regexp_extract("squeezed", message_pattern(), 0)
     return df.select(id_column, placeholder.alias("placeholder"), F.when(message != "", message).when(F.col("plain").rlike(exes), "xxx").alias("message"))
