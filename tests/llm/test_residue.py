@@ -69,3 +69,13 @@ def test_every_placeholder_is_judged(spark):
     data = [taught + far + "{{headline}}", taught + far, "A mark such as [[caption]] or {{ issue.volume }} helps. " + far, taught + far + "[[caption]]", far + taught.replace("name", "name_of_the_editor_and_all_of_the_staff"), taught + taught.replace("{{name}}", "%%name%%") + far * 2]
     df = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
     assert sorted(r.doc_id for r in residue(df).where("placeholder is not null").collect()) == [0, 3]
+
+
+def test_every_column_side_by_side(spark):
+    """A message wrapped over the lines of one of seven columns, the first, a middle or a late one, or beside an empty first column."""
+    message, other = ["He said. Access", "denied. You may", "not come in."], ["an old mill", "a horse", "two carts"]
+    at = lambda c: "\n".join("  ".join(message[i] if k == c else other[i] for k in range(7)) for i in range(3))
+    empty = "\n".join(["coal and oil  " + message[0] + "  a fair", "   " + message[1] + "  and a", "tea  " + message[2] + "  ball"])
+    plain = "\n".join("  ".join(other[i] for k in range(7)) for i in range(3))
+    df = spark.createDataFrame(list(enumerate([*map(at, range(7)), empty, plain])), "doc_id long, text string")
+    assert sorted(r.doc_id for r in residue(df).where("message is not null").collect()) == list(range(8))

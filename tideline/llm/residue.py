@@ -183,12 +183,23 @@ def regrouped(text: Column, boxes: Column | None) -> Column:
     return let(lines, lambda x: F.when(F.size(x) == F.size(boxes), boxed(x, boxes)).otherwise(strides(x)))
 
 
+def side_by_side(text: Column) -> Column:
+    """Every column of the lines that hold several, and the last pieces of all lines; where lines begin with blanks, also with an empty piece for those."""
+
+    def pieces(trimmed) -> Column:
+        return F.transform(F.split(text, r"\r?\n"), lambda x: F.split(trimmed(x), " {2,}"))
+
+    def columns(p: Column) -> Column:
+        every = F.sequence(F.lit(0), F.array_max(F.transform(p, lambda q: F.size(q))) - 1)
+        return F.array_join(F.transform(every, lambda at: F.array_join(F.transform(p, lambda q: F.coalesce(F.get(q, at), F.lit(""))), "\n")), "\n\n")
+
+    last = F.array_join(F.transform(pieces(F.trim), lambda q: F.element_at(q, -1)), "\n")
+    return F.concat_ws("\n\n", let(pieces(F.trim), columns), F.when(text.rlike(r"(?:^|\n) {2,}\S"), let(pieces(F.rtrim), columns)), last)
+
+
 def readings(text: Column, boxes: Column | None = None) -> Column:
-    """The text as printed, then column by column where they alternate line by line, then, where lines hold several columns, each of up to four and the last ones; in lower case, broken words joined, single blanks."""
-    pieces = F.transform(F.split(text, r"\r?\n"), lambda x: F.split(F.trim(x), " {2,}"))
-    columns = [F.array_join(F.transform(pieces, lambda p, at=at: F.coalesce(F.get(p, at), F.lit(""))), "\n") for at in (F.lit(0), F.lit(1), F.lit(2), F.lit(3))]
-    last = F.array_join(F.transform(pieces, lambda p: F.element_at(p, -1)), "\n")
-    side = F.when(text.rlike(r"\S {2,}\S"), F.concat_ws("\n\n", *columns, last))
+    """The text as printed, then column by column where they alternate line by line, then, where lines hold several columns, each of them and the last ones; in lower case, broken words joined, single blanks."""
+    side = F.when(text.rlike(r"\S {2,}\S"), side_by_side(text))
     whole = F.concat_ws("\n\n", text, regrouped(text, boxes), side)
     joined = F.regexp_replace(whole, "[-\\u00AD\\u2010=\\u00AC][ \\t]*\\r?\\n\\s*", "")
     return F.lower(F.regexp_replace(joined, r"[\s ]+", " "))
