@@ -61,3 +61,14 @@ def test_same_every_time_and_empty(spark):
 def test_spelling(spark):
     df = spark.createDataFrame([(" Quillon  Mercury ",), ("QUILLON_MERCURY",), ("quillon-mercury",), ("  ",), (None,)], "s string")
     assert [r[0] for r in df.select(tidy_source(df.s)).collect()] == ["quillon_mercury"] * 3 + [None, None]
+
+
+def test_copies_of_the_exact_mix_are_registered(spark, tmp_path):
+    from tideline.llm.catalogue import queries
+
+    data = [("word " * (5 + i % 20), "hot") for i in range(2000)] + [("word " * 10, "small")] * 40
+    docs(spark, data).write.parquet(f"{tmp_path}/documents.parquet")
+    targets(spark, [("hot", 3.0, 1), ("small", 1.0, 2)]).write.parquet(f"{tmp_path}/mix_target.parquet")
+    got = {r.source: r.n for r in queries()["p7_exact_mix"](spark, str(tmp_path)).groupBy("source").agg({"n_tokens": "sum"}).withColumnRenamed("sum(n_tokens)", "n").collect()}
+    assert got["small"] / sum(got.values()) == pytest.approx(0.25, abs=0.01)
+    assert got["hot"] / sum(got.values()) == pytest.approx(0.75, abs=0.01)

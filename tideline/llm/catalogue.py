@@ -43,6 +43,11 @@ def p7_exact_shares(spark, d):
     return Mixture(table(spark, d, "documents"), table(spark, d, "mix_target"), shortfall=0).shares
 
 
+def p7_exact_mix(spark, d):
+    """The copies of that mix."""
+    return Mixture(table(spark, d, "documents"), table(spark, d, "mix_target"), shortfall=0).copies
+
+
 def p8_found(spark, d):
     return residue(table(spark, d, "documents")).where("placeholder is not null or message is not null").select("doc_id")
 
@@ -54,7 +59,7 @@ def p8_clean(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_ids, p6_roundtrip, p7_mix, p7_shares, p7_exact_shares, p7_available, p8_found, p8_clean)}
+    return {f.__name__: f for f in (p6_ids, p6_roundtrip, p7_mix, p7_shares, p7_exact_shares, p7_exact_mix, p7_available, p8_found, p8_clean)}
 
 
 def sql() -> dict[str, str]:
