@@ -53,9 +53,8 @@ def p8_found(spark, d):
 
 
 def p8_clean(spark, d):
-    """The documents that stay."""
-    docs = table(spark, d, "documents")
-    return docs.join(p8_found(spark, d), "doc_id", "left_anti").select("doc_id", "source", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
+    """The documents that stay, judged row by row."""
+    return residue(table(spark, d, "documents"), keep=["source", "text"]).where("placeholder is null and message is null").select("doc_id", "source", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,58 +1,25 @@
 """Template residue, filler text and error pages that stand in place of a page's own words.
 
 A text is read as printed and, where lines hold columns side by side, once more column by column. Letters that scanners
-confuse are folded to one each, words broken at line ends joined. Placeholders are found by one grammar per delimiter; messages by short fragments in any of
-the languages, compiled to one prefix tree of a regular expression. All of it is column expressions.
+confuse are folded to one each, words broken at line ends joined. Placeholders are found by one grammar per delimiter, judged by the words around them; messages by
+the grammar in ``messages``; filler by repetition and by the shape of its words. All of it is column expressions: no shuffle, no Python.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Letters a scanner confuses, each folded to the one above it in the second line.
-CONFUSED = "ec0aéèêëàâäáóòôöçfvybuüûùl1îïíìj5q8"
-FOLDED_TO = "oooooooooooooooootrrhnnnniiiiiiisgh"
-PAIRS = (("rn", "m"), ("vv", "w"), ("cl", "d"))
-
-#: Fragments of messages, fillers and notices; each is enough by itself and is no prose of a newspaper.
-FRAGMENTS = """
-please enable javascript; enable javascript to; need to enable javascript; javascript to view; javascript to run; javascript is disabled; disabled in your browser; page viewer cannot start;
-viewer cannot start; this viewer requires; viewer requires scripts; turn them on in your; in your browser and; browser and reload; your browser does not; does not support scripts;
-support scripts or they; checking your browser; before accessing the archive; scripts must be allowed; to read this newspaper allow; newspaper allow cookies; allow cookies and; cookies and javascript;
-javascript then refresh; your browser is not supported; enable cookies to continue
-404 not found; requested page image; page image does not exist; does not exist on this server; 500 internal server; internal server error; server error request id; 503 service unavailable;
-service unavailable the archive; archive is down for; down for maintenance; maintenance please try; 502 bad gateway; bad gateway; 403 forbidden; gateway timeout; timeout while fetching; while fetching tile;
-database connection failed; connection failed timeout; ocr failed; empty response from; response from engine; image could not be displayed; not be displayed reload; reload the viewer; too many requests;
-requests wait; seconds and reload; and reload the page; access denied you; access denied; not have permission to view; permission to view this; your session has expired; session has expired please; sign in again to view;
-again to view this scan; please sign in again; expired please sign; the page you asked for; you asked for could not; asked for could not be; we can't find the page; find the page you; page you're looking; can't find the page; find the page you; page you're looking; page you're looking for; oops sorry; sorry something went wrong; something went wrong;
-our team has been told; told about this problem; invalid token; log in to continue; item is no longer available; no longer available in the archive; nullpointerexception; java.lang; viewer.pageloader;
-pageloader.open; traceback most recent; most recent call last; keyerror; warning undefined variable; undefined variable; in viewer on line; syntax error unexpected; fatal error uncaught; segmentation fault; stack trace
-test page do not publish; page do not publish; sample text sample; text sample text; text to follow text to follow; text to follow; headline goes here; headline goes; body copy goes; copy goes here; insert story here; story here second; second paragraph here;
-third paragraph here; this is dummy text; is dummy text; it only fills the column; only fills the column; fills the column until; column until the article; until the article arrives; placeholder text; your text here
-veuillez activer; activer javascript; javascript pour afficher; pour afficher cette page; cette visionneuse nécessite; visionneuse nécessite; nécessite javascript; les scripts sont désactivés; scripts sont désactivés; désactivés dans votre;
-dans votre navigateur; page introuvable erreur; page introuvable; erreur interne du; interne du serveur; service momentanément; momentanément indisponible; accès refusé; vous n'avez pas les droits; pas les droits nécessaires; l'image n'a pas pu;
-n'a pas pu être chargée; pas pu être chargée; votre session a expiré; session a expiré veuillez; veuillez vous reconnecter; vous reconnecter; ceci est un faux texte; un faux texte destiné; faux texte; destiné à remplir la; remplir la colonne; titre ici texte; titre ici; texte à venir
-bitte aktivieren sie; aktivieren sie javascript; javascript um diese; um diese seite anzuzeigen; diese seite anzuzeigen; für den seitenbetrachter; seitenbetrachter muss; muss javascript; javascript eingeschaltet; ihr browser unterstützt; browser unterstützt keine;
-unterstützt keine skripte; keine skripte; ihr browser unter; seite nicht gefunden; der angeforderte scan; angeforderte scan ist; scan ist nicht vorhanden; ist nicht vorhanden fehler; interner serverfehler; serverfehler bitte; bitte versuchen sie es; sie es später erneut; es später erneut; dienst ist wegen wartungs;
-wegen wartungsarbeiten; wartungsarbeiten nicht; arbeiten nicht erreichbar; ihre sitzung ist; zugriff verweigert bitte; zugriff verweigert; bitte melden sie sich; melden sie sich an; das bild konnte nicht; bild konnte nicht geladen; konnte nicht geladen werden; dies ist ein blindtext; ist ein blindtext;
-blindtext; er füllt nur die; füllt nur die spalte; überschrift hier text; überschrift hier; text folgt; mustertext mustertext; platzhaltertext
-schakel javascript; javascript in om; om deze pagina te bekijken; deze pagina te bekijken; scripts zijn uitgeschakeld; zijn uitgeschakeld in uw; uitgeschakeld in uw; in uw browser; voor deze viewer; deze viewer is; viewer is javascript; is javascript nodig; javascript nodig; pagina niet gevonden;
-interne serverfout; serverfout probeer; probeer het later opnieuw; het later opnieuw; geen toegang meld; geen toegang; meld u aan om; om deze scan te; deze scan te bekijken; uw sessie is; sessie is verlopen; de afbeelding kon niet; afbeelding kon niet; kon niet worden geladen; dit is een voorbeeldtekst;
-voorbeeldtekst; die alleen de kolom; alleen de kolom vult; kop hier tekst; kop hier; tekst volgt
-"""
-#: Words of mock Latin; three side by side are filler, one by itself may be talked about.
-LATIN = "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim veniam quis nostrud dolum tellus quassi menda agris praetor turis fructem iscum nolim vadim pectat olim quido sati sempra torum venir vela erat".split()
-#: Words repeated so many times in a row are filler.
-REPEATED = {"text": 4, "texte": 3, "tekst": 3, "test": 3, "null": 3, "undefined": 2, "none": 4, "nan": 4}
+from tideline.llm.messages import CONFUSED, FOLDED_TO, PAIRS, anchor_pattern, filler_pattern, fold, message_pattern, mock_latin_pattern, squeezed
+
 #: Names that templates give their fields, where a delimiter alone (French quotation marks) proves nothing.
 FIELDS = "author byline headline title subtitle date lead editor section caption newspaper place publisher name body content text summary keywords".split()
 #: What editors put between braces.
 EDITORIAL = "sic torn illegible missing unreadable blank unleserlich unlesbar fehlt illisible déchiré manque onleesbaar gescheurd ontbreekt".split()
 #: Before a placeholder these say that it is talked about, not left over.
-TAUGHT = ("for example", "for instance", "such as", "syntax", "zum beispiel", "par exemple", "bijvoorbeeld")
+TAUGHT = ("for example", "for instance", "such as", "syntax", "zum beispiel", "z. b.", "par exemple", "p. ex.", "bijvoorbeeld", "bijv.", "por ejemplo", "per esempio", "por exemplo")
+#: Of a page's placeholders so many times as many must be left as not introduced; fewer belong to the same lesson.
+LESSON = 4
 
 #: What every placeholder begins with, or the end of one whose beginning is lost.
 DELIMITERS = r"[\[{<%$#@«_(&}]"
@@ -60,55 +27,12 @@ DELIMITERS = r"[\[{<%$#@«_(&}]"
 INTERLEAVED = 8
 
 
-def fold(text: str) -> str:
-    """The same folding as folded(), for patterns."""
-    text = text.lower()
-    for a, b in PAIRS:
-        text = text.replace(a, b)
-    return text.translate(str.maketrans(CONFUSED, FOLDED_TO))
-
-
 def folded(text: Column) -> Column:
     for a, b in PAIRS:
         text = F.replace(text, F.lit(a), F.lit(b))
     return F.translate(text, CONFUSED, FOLDED_TO)
 
 
-def squeeze(text: str) -> str:
-    return "".join(re.findall(r"[^\W_]", fold(text)))
-
-
-def tree(words: list[str]) -> str:
-    """A regular expression for any of the words that branches by letter, so that a position is left after a letter or two."""
-    root: dict = {}
-    for w in words:
-        at = root
-        for c in w:
-            if "" in at:  # a shorter word already matches
-                break
-            at = at.setdefault(c, {})
-        else:
-            at.clear()
-            at[""] = {}
-
-    def expression(node: dict) -> str:
-        if "" in node:
-            return ""
-        branches = [re.escape(c) + expression(n) for c, n in sorted(node.items())]
-        return branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
-
-    return expression(root)
-
-
-def message_pattern() -> str:
-    words = [squeeze(w) for w in re.split(r"[;\n]", FRAGMENTS) if w.strip()]
-    latin = "(?:" + "|".join(sorted({squeeze(w) for w in LATIN}, key=len, reverse=True)) + ")"
-    again = [f"(?:{squeeze(w)}){{{n}}}" for w, n in REPEATED.items()]
-    begin = squeeze("lorem ipsum")
-    mock = "(?:" + "|".join(sorted({squeeze(w) for w in LATIN if len(w) > 4}, key=len, reverse=True)) + ")"
-    return "|".join([tree(words), f"{begin}{latin}", f"{mock}{latin}{latin}", *again])
-
-
 def placeholder_pattern() -> str:
     """Grammars by delimiter, over folded text with single blanks."""
     name = r"[\p{L}_][\p{L}\p{N}_.,-]*"
@@ -149,9 +73,10 @@ def placeholder_pattern() -> str:
 
 
 def introduced_pattern() -> str:
-    """A placeholder, with the end of its double braces, after words that say it is an example. The delimiter is looked for first, so that looking behind is rare."""
-    taught = "|".join(fold(w) for w in TAUGHT)
-    return rf"(?={DELIMITERS})(?<=(?:{taught})[^.]{{0,40}})(?:\}}\}}|{placeholder_pattern()}(?:(?<=\{{\{{[^{{}}]{{0,3}})[^{{}}\[\]<>%$«]*\}}\}})?)"
+    """Placeholders that words such as "for example" introduce: the first within 40 characters of them, each further one within 60 of the one before, all in one sentence."""
+    taught = "|".join(fold(w).replace(".", r"\.") for w in TAUGHT)
+    whole = rf"{placeholder_pattern()}(?:(?:[^{{}}\[\]<>%$«»@().]|\.(?=\S)){{0,60}}(?:\}}\}}?|%\}}|%>|%%|@@|\]\]?|>>?|»|\$|\)s?))?"
+    return rf"(?:{taught})[^.]{{0,40}}?{whole}(?:[^.]{{0,60}}?{whole})*"
 
 
 def let(value: Column, f) -> Column:
@@ -201,27 +126,33 @@ def readings(text: Column, boxes: Column | None = None) -> Column:
     """The text as printed, then column by column where they alternate line by line, then, where lines hold several columns, each of them and the last ones; in lower case, broken words joined, single blanks."""
     side = F.when(text.rlike(r"\S {2,}\S"), side_by_side(text))
     whole = F.concat_ws("\n\n", text, regrouped(text, boxes), side)
-    joined = F.regexp_replace(whole, "[-\\u00AD\\u2010=\\u00AC][ \\t]*\\r?\\n\\s*", "")
-    return F.lower(F.regexp_replace(joined, r"[\s ]+", " "))
+    return F.lower(F.regexp_replace(whole, "[-\\u00AD\\u2010=\\u00AC][ \\t]*\\r?\\n\\s*", ""))
 
 
-def residue(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", box_column: str = "line_box") -> DataFrame:
-    """id, placeholder, message: what gave a text away, null where nothing did; one row per row of ``documents``.
+def left_over(read: Column) -> Column:
+    """The first placeholder that nothing introduces; null if there is none or if the page teaches."""
+    found = placeholder_pattern()
+    coded = rf"```[^`]*```|`[^`\n]{{1,200}}`|<{fold('code')}>[^<]*</{fold('code')}>|<{fold('pre')}>[^<]*</{fold('pre')}>"
+    plain = F.regexp_replace(F.regexp_replace(folded(read), r"[\s ]+", " "), coded, " ")
+    every = lambda text: F.regexp_extract_all(text, F.lit(f"({found})"), F.lit(1))
+    judged = let(plain, lambda p: F.struct(F.size(every(p)).alias("n"), every(F.regexp_replace(p, introduced_pattern(), " ")).alias("left")))
+    return let(judged, lambda j: F.when(F.size(j["left"]) * LESSON > j["n"], F.get(j["left"], F.lit(0))))
+
 
-    Text between code fences or <code> tags and placeholders that are introduced as examples are no residue, each judged by the words before it, unless three or more placeholders stand in
-    1,000 characters. Lines of columns that alternate are put together by ``box_column`` (x and w, one box for each line split at "\\n") if the table has it. Null and empty texts have nothing. Texts are searched whole; no shuffle. An empty table gives no rows.
+def residue(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", box_column: str = "line_box", keep: list[str] | None = None) -> DataFrame:
+    """id, the columns in ``keep``, placeholder, message: what gave a text away, null where nothing did; one row per row of ``documents``.
+
+    Text between code fences, backticks or <code> tags and placeholders that are introduced as examples (see introduced_pattern) are no residue, each judged by its own surroundings; where at least LESSON - 1
+    out of LESSON placeholders of a page are introduced, the page teaches and the rest is no residue either. Lines of columns that alternate are put together by ``box_column`` (x and w, one box for each line split at "\\n") if the table has it.
+    Null and empty texts have nothing. Texts are searched whole; no shuffle. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    df = documents.select(F.col(id_column), folded(readings(text, F.col(box_column) if box_column in documents.columns else None)).alias("read"), F.length(text).alias("printed"))
-    coded = rf"```[^`]*```|<{fold('code')}>[^<]*</{fold('code')}>|<{fold('pre')}>[^<]*</{fold('pre')}>"
-    plain = F.regexp_replace("read", coded, " ")
-    squeezed = F.regexp_replace("read", r"[^\p{L}\p{N}]+", "")
-    found = placeholder_pattern()
-    df = df.select(id_column, plain.alias("plain"), squeezed.alias("squeezed"), F.length("read").alias("n"), "printed")
-    df = df.withColumn("first", F.regexp_extract("plain", found, 0))
-    many = F.size(F.regexp_extract_all("plain", F.lit(f"({found})"), F.lit(1))) * 1000 >= 3 * F.greatest(F.col("n"), 1000 * F.greatest(F.lit(1), F.col("n") / F.col("printed")))
-    left = F.regexp_extract(F.regexp_replace("plain", introduced_pattern(), " "), found, 0)
-    placeholder = F.when(F.col("first") != "", F.when(many, F.col("first")).when(left != "", left))
-    exes = r"(?:\bx{3,}[ .,]*){3,}"
-    message = F.regexp_extract("squeezed", message_pattern(), 0)
-    return df.select(id_column, placeholder.alias("placeholder"), F.when(message != "", message).when(F.col("plain").rlike(exes), "xxx").alias("message"))
+    kept = [id_column, *(keep or [])]
+    df = documents.select(*kept, readings(text, F.col(box_column) if box_column in documents.columns else None).alias("_read"))
+    df = df.select(*kept, "_read", squeezed(F.col("_read")).alias("_squeezed"))
+    none = lambda c: F.when(c != "", c)
+    # what follows is costly only where a delimiter or an anchor stands
+    placeholder = F.when(F.col("_read").rlike(DELIMITERS), left_over(F.col("_read")))
+    said = F.coalesce(none(F.regexp_extract("_squeezed", message_pattern(), 0)), none(F.regexp_extract(folded(F.col("_read")), filler_pattern(), 0)))
+    message = F.coalesce(F.when(F.col("_squeezed").rlike(anchor_pattern()), said), none(F.regexp_extract("_read", mock_latin_pattern(), 0)))
+    return df.select(*kept, placeholder.alias("placeholder"), message.alias("message"))
