@@ -65,7 +65,7 @@ REPORTED = "our team has been, we have been notified, team has been told, has be
 PROGRAM = """
 traceback. most recent call, most recent call last, null pointer exception, null pointer error, exception in thread, uncaught exception, uncaught error, uncaught type error, unhandled exception, unhandled rejection,
 undefined variable, undefined index, undefined offset, undefined method, undefined function, is not a function at, undefined is not a, cannot read propert, syntax error. unexpected, unexpected token, unexpected end of input, parse error. unexpected,
-fatal error. uncaught, fatal error. call, fatal error. allowed, segmentation fault, core dumped, stack overflow, stack trace. at, no such file or directory, module not found, out of memory error, memory exhausted, key error, value error, type error,
+fatal error. uncaught, fatal error. call, fatal error. allowed, segmentation fault, core dumped, stack overflow error, no such file or directory, module not found, out of memory error, memory exhausted, key error, value error, type error,
 index error, name error, attribute error, import error, reference error, runtime error, io exception, sql exception, illegal argument exception, class not found exception, index out of bounds,
 connection failed. timeout, connection timed out, connection refused by server, connection reset by peer, could not connect to server, failed to fetch, network error, request failed with status, empty response from, ocr failed, ocr error, ocr engine,
 timeout while fetching, timeout after, timed out after, gateway timeout, request id, exit code, http error, ssl error, dns error, query failed
