@@ -96,6 +96,8 @@ stet clita kasd gubergren sea takimata sanctus vel eum hendrerit vulputate moles
 vestibulum ante primis faucibus orci luctus ultrices posuere cubilia curae donec pharetra nunc viverra mauris pellentesque habitant tristique senectus netus malesuada fames ac turpis egestas proin vitae libero cras mi maecenas aenean
 massa sociis natoque penatibus magnis dis parturient montes nascetur ridiculus mus felis ultricies nec pretium quam semper fringilla vivamus elementum tincidunt
 """
+#: Letters of the words of which a run has at least one.
+LONG = 8
 #: Short words of living languages and of real Latin: a run of Latin-looking words without any of them is made up.
 LIVING = """
 that what this his is it at us or for was has not et est sont mais puis depuis dit tout plus nous vous sous tous les des dans dat het niet met wat omdat dit is was hij der dem im am vom zum zur nur aus vor bis mit hat statt wird um
@@ -195,6 +197,7 @@ RARE = "xzkpwgmdshtrnio"
 def anchor_pattern() -> str:
     """Whether any rule can match, in one quick pass: each anchor is looked for from its rarest letter on, looking behind for what precedes it."""
     words = {max(map(squeeze, w.split(".")), key=len) for a, _ in rules() for w in listed(a)} | {squeeze(w) * 2 for w in REPEATED.split()} | {"xxx"}
+    words |= {squeeze(w) for w in MOCK_LATIN.split() if len(w) >= LONG} | {squeeze("lorem ipsum")}
     words = {w for w in words if not any(o != w and o in w for o in words)}
     by_letter: dict[str, list[str]] = {}
     for w in sorted(words):
@@ -215,13 +218,22 @@ def filler_pattern() -> str:
     return rf"\b({words})\b(?:\s{{1,3}}\1\b){{2}}|(?:\bx{{3,}}[ .,\n]{{0,3}}){{3,}}|{fold('lorem')}{gap}{fold('ipsum')}{gap}{latin}{gap}{latin}"
 
 
-def mock_latin_pattern() -> str:
-    """Five words of the usual vocabulary in a row, or six made up in the shape of Latin with at most two that end in a vowel between them, or nothing but such words; in lower case, not folded."""
+def known_latin_pattern() -> str:
+    """Five words of the usual vocabulary in a row, of which one has at least LONG letters; in lower case, not folded."""
+    words = MOCK_LATIN.split()
+    inside = r"(?=(?:\p{L}+[\s.,]{1,3}){0,4}(?:" + "|".join(w for w in words if len(w) >= LONG) + r")\b)"
+    return rf"\b{inside}(?:(?:{tree(words)})\b[\s.,]{{1,3}}){{4}}(?:{tree(words)})\b"
+
+
+def made_up_latin_patterns() -> tuple[str, str]:
+    """Words in the shape of Latin, none of them of LIVING: six in a row with at most two that end in a vowel between them; and a text that has nothing else. In lower case, not folded."""
     living = "|".join(sorted(set(LIVING.split())))
     word = lambda ends: rf"\p{{L}}{{2,}}+(?<=(?:{ends}))(?<!\b(?:{living}))"
-    strong, weak, gap = word("um|us|is|am|em|im|or|ur|ir|[^a]it|at|et|unt"), word("[aeio]"), r"[\s.,]{1,3}"
-    all_of_it = rf"^(?=(?:[^\n]{{0,400}}?\b{strong}){{3}})[\s.,]*(?:(?:{strong}|{weak})[\s.,]+){{4}}(?:(?:{strong}|{weak})[\s.,]*)+$"
-    return rf"\b(?:(?:(?:{tree(MOCK_LATIN.split())})\b{gap}){{5}}|(?:{strong}{gap}(?:{weak}{gap}){{0,2}}){{5}}{strong})|{all_of_it}"
+    ends = "um|us|is|am|em|im|or|ur|ir|[^a]it|at|et|unt"
+    strong, weak, gap = word(ends), word("[aeio]"), r"[\s.,]{1,3}"
+    row = rf"(?:{ends}){gap}(?:(?:{weak}{gap}){{0,2}}{strong}{gap}){{4}}(?:{weak}{gap}){{0,2}}{strong}"  # begins with the end of a word, which few words have
+    alone = rf"^(?=(?:[^\n]{{0,400}}?\b{strong}){{3}})[\s.,]*(?:(?:{strong}|{weak})[\s.,]+){{4}}(?:(?:{strong}|{weak})[\s.,]*)+$"
+    return row, alone
 
 
 def tree(words: list[str]) -> str:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.messages import CONFUSED, FOLDED_TO, PAIRS, anchor_pattern, filler_pattern, fold, message_pattern, mock_latin_pattern, squeezed
+from tideline.llm.messages import CONFUSED, FOLDED_TO, PAIRS, anchor_pattern, filler_pattern, fold, known_latin_pattern, made_up_latin_patterns, message_pattern, squeezed
 
 #: Names that templates give their fields, where a delimiter alone (French quotation marks) proves nothing.
 FIELDS = "author byline headline title subtitle date lead editor section caption newspaper place publisher name body content text summary keywords".split()
@@ -21,6 +21,8 @@ TAUGHT = ("for example", "for instance", "such as", "syntax", "zum beispiel", "z
 #: Of a page's placeholders so many times as many must be left as not introduced; fewer belong to the same lesson.
 LESSON = 4
 
+#: Letters below which a text is compared with filler as a whole; longer filler has the rows of words that are looked for anyway.
+SHORT = 300
 #: What every placeholder begins with, or the end of one whose beginning is lost.
 DELIMITERS = r"[\[{<%$#@«_(&}]"
 #: Columns whose lines may alternate in a text without boxes.
@@ -99,13 +101,19 @@ def boxed(lines: Column, boxes: Column) -> Column:
     return let(starts, lambda s: F.when(F.size(s) > 1, in_columns(lines, lambda i: F.size(F.filter(s, lambda x: x <= F.get(boxes, i)["x"])))))
 
 
+def goes_back(boxes: Column) -> Column:
+    """Whether a line can lie in a column before that of the line above it: its left edge must lie further left by half a line's width, however narrow."""
+    back = F.array_max(F.transform(boxes, lambda b, i: F.get(boxes, i - 1)["x"] - b["x"]))
+    return F.coalesce(back > F.array_min(F.transform(boxes, lambda b: b["w"])) / 2, F.lit(True))
+
+
 def regrouped(text: Column, boxes: Column | None) -> Column:
     """The text column by column where its columns alternate line by line; null where they don't. Without a box for every line, every n-th line is read, for each n up to INTERLEAVED."""
     lines = F.split(text, "\n")
     strides = lambda x: F.concat_ws("\n\n", *[F.when(F.size(x) > n, in_columns(x, lambda i, n=n: i % n)) for n in range(2, INTERLEAVED + 1)])
     if boxes is None:
         return let(lines, strides)
-    return let(lines, lambda x: F.when(F.size(x) == F.size(boxes), boxed(x, boxes)).otherwise(strides(x)))
+    return let(lines, lambda x: F.when(F.size(x) == F.size(boxes), F.when(goes_back(boxes), boxed(x, boxes))).otherwise(strides(x)))
 
 
 def side_by_side(text: Column) -> Column:
@@ -153,6 +161,8 @@ def residue(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     none = lambda c: F.when(c != "", c)
     # what follows is costly only where a delimiter or an anchor stands
     placeholder = F.when(F.col("_read").rlike(DELIMITERS), left_over(F.col("_read")))
-    said = F.coalesce(none(F.regexp_extract("_squeezed", message_pattern(), 0)), none(F.regexp_extract(folded(F.col("_read")), filler_pattern(), 0)))
-    message = F.coalesce(F.when(F.col("_squeezed").rlike(anchor_pattern()), said), none(F.regexp_extract("_read", mock_latin_pattern(), 0)))
+    said = F.coalesce(none(F.regexp_extract("_squeezed", message_pattern(), 0)), none(F.regexp_extract(folded(F.col("_read")), filler_pattern(), 0)), none(F.regexp_extract("_read", known_latin_pattern(), 0)))
+    row, alone = made_up_latin_patterns()
+    made_up = F.coalesce(none(F.regexp_extract("_read", row, 0)), F.when(F.length("_squeezed") < SHORT, none(F.regexp_extract("_read", alone, 0))))
+    message = F.coalesce(F.when(F.col("_squeezed").rlike(anchor_pattern()), said), made_up)
     return df.select(*kept, placeholder.alias("placeholder"), message.alias("message"))
