@@ -101,7 +101,7 @@ def test_grid_against_sets(spark, info, seed):
                 data.append(data[-1])
     data += [(None, 5, 5, 1.0), ("a", None, 5, 1.0)]
     rng.shuffle(data)
-    df = grid.regular_grid(readings(spark, data), info, periods=64, halo=16)
+    df = grid.regular_grid(readings(spark, data), info, periods=64)
     missing, total = brute_missing(data)
     assert rows(df.where("missing"), "label", "period_start") == missing
     assert df.count() == total and df.select("label", "period_start").distinct().count() == total
@@ -113,16 +113,31 @@ def test_blocks_agree_with_one_block(spark, info):
     t = np.arange(0, 20000, 10) + rng.integers(0, 10, 2000)
     v = 5 * np.sin(t / 900) + rng.normal(0, 0.2, 2000)
     data = [("s", int(a), int(a), float(b)) for a, b in zip(t, v) if not 4000 < a < 4150]
-    one = {r.period_start: (r.value, r.sd) for r in grid.regular_grid(readings(spark, data), info, 4096, 0).collect()}
-    many = {r.period_start: (r.value, r.sd) for r in grid.regular_grid(readings(spark, data), info, 500, 200).collect()}
+    one = {r.period_start: (r.value, r.sd) for r in grid.regular_grid(readings(spark, data), info, 4096).collect()}
+    many = {r.period_start: (r.value, r.sd) for r in grid.regular_grid(readings(spark, data), info, 500).collect()}
     assert one.keys() == many.keys()
-    assert max(abs(one[k][0] - many[k][0]) for k in one) < 0.1
+    assert max(abs(one[k][0] - many[k][0]) for k in one) < 0.02 and max(abs(one[k][1] - many[k][1]) for k in one) < 0.01
     truth = lambda k: 5 * np.sin(k / 900)
     assert np.mean([abs(many[k][0] - truth(k)) for k in many]) < 0.1
     gap = [k for k in many if 4010 < k < 4140]
     assert min(many[k][1] for k in gap) > np.median([x[1] for x in many.values()])
 
 
+def test_pause_over_edges(spark, info):
+    """A pause longer than several blocks is filled from both sides, as one smoother over everything would."""
+    rng = np.random.default_rng(7)
+    t = np.concatenate([np.arange(300), np.arange(3300, 3600)]) * 10
+    v = np.concatenate([np.zeros(300), np.full(300, 60.0)]) + rng.normal(0, 0.2, 600)
+    df = readings(spark, [("s", int(a), int(a), float(b)) for a, b in zip(t, v)])
+    one, many = ({r.period_start: (r.value, r.sd) for r in grid.regular_grid(df, info, p).collect()} for p in (4096, 500))
+    assert len(one) == len(many) == 3600
+    sd = {k: x[1] for k, x in one.items()}
+    assert max(abs(one[k][0] - many[k][0]) / (1 + sd[k]) for k in one) < 0.02
+    assert max(abs(one[k][1] / many[k][1] - 1) for k in one) < 0.05
+    middle = [many[k * 10][0] for k in (1000, 1800, 2600)]
+    assert middle[0] < middle[1] < middle[2] and abs(middle[1] - 30) < 5
+
+
 def test_grid_of_nothing(spark, info):
     assert grid.regular_grid(readings(spark, []), info).count() == 0
     assert grid.regular_grid(readings(spark, [("a", 1, 1, None), ("a", 2, 2, float("nan"))]), info).count() == 0
@@ -166,6 +181,53 @@ def test_planted_faults(spark, info):
     assert got == sorted(expected)
 
 
+def test_divided_runs(spark, info):
+    """Successive readings are successive whatever lies between them: years, empty blocks, blocks of one reading."""
+    far = 10 * 20_000
+    data = [("run", i * 10, 1, 3.0) for i in range(4)] + [("run", far + i * 10, 1, 3.0) for i in range(4)] + [("run", far + 1000 + i * 10, 1, float(i % 5)) for i in range(40)]
+    data += [("sparse", i * far, 1, 7.0 if 5 <= i < 13 else float(i)) for i in range(30)]
+    data += [("short", i * far, 1, 7.0 if 5 <= i < 12 else float(i)) for i in range(30)]
+    data += [("long", i * 997, 1, 2.5 if 100 <= i < 1500 else float(i % 7)) for i in range(3000)]
+    got = rows(spikes.faulty_readings(readings(spark, data), info).where("kind = 'stuck'"), "label", "epoch_s")
+    expected = [("run", i * 10) for i in range(4)] + [("run", far + i * 10) for i in range(4)] + [("sparse", i * far) for i in range(5, 13)] + [("long", i * 997) for i in range(100, 1500)]
+    assert got == sorted(expected)
+
+
+def test_spikes_at_edges_and_after_pauses(spark, info):
+    """The level before and after a spike lies beyond edges and pauses."""
+    rng = np.random.default_rng(5)
+    data, spikes_at = [], []
+    for label, step in (("daily", 86400), ("slow", 4321), ("fine", 10)):
+        t = np.arange(700) * step
+        t[350:] += 10 * 500_000
+        v = 20 + rng.normal(0, 0.1, 700)
+        for i in (8, 64, 128, 347, 352, 460, 690):
+            v[i] += 5
+            spikes_at.append((label, int(t[i])))
+        data += [(label, int(a), 1, float(b)) for a, b in zip(t, v)]
+    got = rows(spikes.faulty_readings(readings(spark, data), info).where("kind = 'spike'"), "label", "epoch_s")
+    assert got == sorted(spikes_at)
+
+
+def test_normal_course_decides(spark):
+    """A peak that every day has is normal; a day without it is not. Without the principal components it would be the other way round."""
+    info = spark.createDataFrame([("c", 900, "m", -1000.0, 1000.0)], INFO)
+    rng = np.random.default_rng(3)
+    n = 96 * 40
+    v = 20 + 10 * np.sin(np.arange(n) % 96 / 96 * 2 * np.pi) + rng.normal(0, 0.1, n)
+    v[np.arange(n) % 96 == 30] += 40  # every morning
+    v[96 * 17 + 30] -= 40  # but one
+    v[96 * 23 + 70] += 6
+    df = readings(spark, [("s", i * 900, 1, float(x)) for i, x in enumerate(v)])
+    found = lambda: rows(spikes.faulty_readings(df, info), "epoch_s", "kind")
+    assert found() == [((96 * 17 + 30) * 900, "spike"), ((96 * 23 + 70) * 900, "spike")]
+    cell = np.arange(n)
+    shape, sparse = spikes.normal_course(cell, v, 96)
+    assert abs(shape[30] - shape[29] - 40) < 2 and not sparse[96 * 5 + 30] and sparse[96 * 17 + 30] and sparse[96 * 23 + 70]
+    plain, _ = spikes.spikes_of(v, np.zeros(n, int), np.ones(n, bool))
+    assert (plain[30::96] > 30).sum() == 39 and plain[96 * 17 + 30] == 0
+
+
 def test_faults_of_nothing(spark, info):
     assert spikes.faulty_readings(readings(spark, []), info).count() == 0
 

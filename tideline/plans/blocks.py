@@ -1,9 +1,8 @@
-"""Series cut into blocks of time with a margin, one shuffle for any series length.
+"""Series cut into blocks of time, one shuffle for any series length, and what blocks have to know of each other.
 
 A label may hold a third of all rows, so no operator here ever gathers a label in one task. Time is divided into
-periods and blocks of a fixed number of periods; a reading goes to its own block and, within ``halo`` periods of
-an edge, also to the neighbour. (label, block) is the only shuffle key. A block's distinct whole seconds bound its
-size whatever the label's length: repeated rows and superseded versions are removed batch by batch as they arrive.
+periods and blocks of a fixed number of periods; (series, block) is the shuffle key. A block that must see beyond its edges gets the last entries of the
+blocks before it and the first ones of those after it, by their number and across any pause, see carried().
 """
 
 from __future__ import annotations
@@ -14,12 +13,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.functions.times import since_1970
 
 #: Sorts before every real publication time.
 NO_PUBTIME = -(2**60)
+#: What makes a series: a label, and what its collection says of it.
+SERIES = ["label", "period_s", "low", "high"]
+#: Non-empty blocks on each side that a block is told of, and blocks for which that is found out together.
+LOOK, TOGETHER = 8, 4096
 
 
 def versions(readings: DataFrame, info: DataFrame) -> DataFrame:
@@ -27,29 +31,44 @@ def versions(readings: DataFrame, info: DataFrame) -> DataFrame:
 
     ``ver`` orders the versions of one (label, t): by publication time (null first), then a version with a number
     before one without. NaN counts as no number and comes out as null. ``info`` is one row per collection; its first row by period and limits is
-    taken if a collection is repeated. Collections without a positive period are left out.
+    taken if a collection is repeated. Collections without a positive period are left out. Limits that are null come out infinite. A label is expected in one collection; in
+    several of different periods or limits it is a series in each of them.
     """
     info = info.where("collection is not null and period_s > 0").groupBy("collection").agg(F.min(F.struct(F.col("period_s").cast("long").alias("period_s"), F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"))).alias("i"))
     value = F.when(~F.isnan("value"), F.col("value"))
     read = readings.select("collection", "label", since_1970(F.col("timestamp")).alias("t"), F.coalesce(since_1970(F.col("pubtime")), F.lit(NO_PUBTIME)).alias("pub"), value.cast("double").alias("value")).where("label is not null and t is not null")
-    return read.join(info, "collection").select("label", "i.period_s", "i.low", "i.high", "t", (F.col("pub") * 2 + F.col("value").isNotNull().cast("long")).alias("ver"), "value")
+    low, high = F.coalesce("i.low", F.lit(float("-inf"))).alias("low"), F.coalesce("i.high", F.lit(float("inf"))).alias("high")
+    return read.join(info, "collection").select("label", "i.period_s", low, high, "t", (F.col("pub") * 2 + F.col("value").isNotNull().cast("long")).alias("ver"), "value")
 
 
-def in_blocks(versions_: DataFrame, periods: Column, halo: int, extra: DataFrame | None = None) -> DataFrame:
-    """The readings with their block, copied to the neighbour within ``halo`` periods of an edge, hashed by (label, block) and sorted by (label, block, t, ver, value).
+def first_of(c: Column, n: int) -> Column:
+    return F.slice(c, 1, n)
 
-    ``extra``: further rows of the same columns, e.g. markers for blocks without readings.
+
+def last_of(c: Column, n: int) -> Column:
+    return F.when(F.size(c) > n, F.slice(c, -n, n)).otherwise(c)
+
+
+def carried(edges: DataFrame, series: list[str], limit: int, stats: dict[str, tuple] | None = None) -> DataFrame:
+    """``edges`` with ``before``, ``after`` (arrays of at most ``limit`` entries), ``next_block`` and statistics of the whole series.
+
+    edges: one row per non-empty block with the columns of ``series``, ``block``, ``head`` and ``tail``: the block's first and last entries in order. ``before`` is what comes last in
+    the LOOK non-empty blocks before it, ``after`` what comes first in those after it, however far away they are; ``stats``: name -> (aggregate, column), e.g. (F.sum, "n"). Blocks are
+    compared within runs of TOGETHER, then the runs among each other, so that a task holds one row for millions of readings of a series at most.
     """
-    k = F.floor(F.col("t") / F.col("period_s"))
-    df = versions_.withColumn("periods", periods.cast("long")).withColumn("k", k)
-    own = F.floor(F.col("k") / F.col("periods"))
-    at = F.col("k") - F.col("own") * F.col("periods")
-    df = df.withColumn("own", own)
-    copies = F.array(F.col("own"), F.when(at < halo, F.col("own") - 1), F.when(at >= F.col("periods") - halo, F.col("own") + 1))
-    df = df.withColumn("block", F.explode(copies)).where("block is not null").drop("own", "k")
-    if extra is not None:
-        df = df.unionByName(extra, allowMissingColumns=True)
-    return df.repartition("label", "block").sortWithinPartitions("label", "block", "t", "ver", "value")
+    stats = stats or {}
+    flat = lambda c, a, b, w: F.flatten(F.collect_list(c).over(w.rowsBetween(a, b)))
+    inner = W.partitionBy(*series, "_run").orderBy("block")
+    e = edges.withColumn("_run", F.floor(F.col("block") / TOGETHER))
+    e = e.withColumns({"_p": flat("tail", -LOOK, -1, inner), "_n": flat("head", 1, LOOK, inner), "_nb": F.lead("block").over(inner)})
+    runs = e.groupBy(*series, "_run").agg(
+        F.max_by(last_of(F.concat("_p", "tail"), limit), "block").alias("_t"), F.min_by(first_of(F.concat("head", "_n"), limit), "block").alias("_h"), F.min("block").alias("_b"), *(f(c).alias(n) for n, (f, c) in stats.items())
+    )
+    outer, all_ = W.partitionBy(*series).orderBy("_run"), W.partitionBy(*series)
+    runs = runs.withColumns({"_rp": flat("_t", -LOOK, -1, outer), "_rn": flat("_h", 1, LOOK, outer), "_rb": F.lead("_b").over(outer), **{n: f(n).over(all_) for n, (f, _) in stats.items()}})
+    one = [n for n in edges.columns if n not in stats]
+    joined = e.select(*one, "_run", "_p", "_n", "_nb").join(runs.select(*series, "_run", "_rp", "_rn", "_rb", *stats), [*series, "_run"])
+    return joined.select(*one, last_of(F.concat("_rp", "_p"), limit).alias("before"), first_of(F.concat("_n", "_rn"), limit).alias("after"), F.coalesce("_nb", "_rb").alias("next_block"), *stats)
 
 
 def run_starts(label: pa.Array, *keys: np.ndarray) -> np.ndarray:
@@ -70,35 +89,41 @@ def ints(batch, name: str, null: int = 0) -> np.ndarray:
     return pc.fill_null(c, null).to_numpy(zero_copy_only=False) if c.null_count else c.to_numpy(zero_copy_only=False)
 
 
-#: Stands for the null time of a marker; sorts first.
-NO_TIME = -(2**62)
+def floats(batch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False).astype(float)
+
 
+def group_starts(batch: pa.RecordBatch, at: str | None = None) -> np.ndarray:
+    """Where a (series, block) begins; with ``at`` also where that column changes."""
+    return run_starts(batch.column("label"), *(ints(batch, c) for c in ("period_s", "block", *([at] if at else []))), *(floats(batch, c) for c in ("low", "high")))
 
-def latest(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The last row of each (label, block, t) run, in the order given by in_blocks()."""
-    starts = run_starts(batch.column("label"), ints(batch, "block"), ints(batch, "t", NO_TIME))
-    last = np.append(starts[1:], batch.num_rows) - 1
+
+def latest(batch: pa.RecordBatch, at: str) -> pa.RecordBatch:
+    """The last row of each (series, block, at), in sorted order."""
+    last = np.append(group_starts(batch, at)[1:], batch.num_rows) - 1
     return batch if len(last) == batch.num_rows else batch.take(pa.array(last))
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Record batches of whole (label, block) groups with about ``rows`` rows, and where each group starts."""
+def whole_groups(batches: Iterator[pa.RecordBatch], rows: int, at: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Record batches of whole (series, block) groups with about ``rows`` rows, and where each group starts. Of rows that agree in ``at`` the last is kept, batch by batch as they arrive."""
     held: list[pa.RecordBatch] = []
     ready: list[pa.RecordBatch] = []
     n = 0
 
     def together(parts):
-        one = latest(pa.Table.from_batches(parts).combine_chunks().to_batches(max_chunksize=None)[0])
-        return one, run_starts(one.column("label"), ints(one, "block"))
+        one = latest(pa.Table.from_batches(parts).combine_chunks().to_batches(max_chunksize=None)[0], at)
+        return one, group_starts(one)
+
+    def key(batch, i):
+        return tuple(batch.column(c)[i].as_py() for c in (*SERIES, "block"))
 
     last_key = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        batch = latest(batch)
-        starts = run_starts(batch.column("label"), ints(batch, "block"))
-        first_key = (batch.column("label")[0].as_py(), batch.column("block")[0].as_py())
-        if held and first_key != last_key:
+        batch = latest(batch, at)
+        starts = group_starts(batch)
+        if held and key(batch, 0) != last_key:
             ready += held
             n += sum(b.num_rows for b in held)
             held = []
@@ -109,9 +134,14 @@ def whole_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple
             held = []
             ready.append(batch.slice(0, cut))
         held.append(batch.slice(cut))
-        last_key = (batch.column("label")[batch.num_rows - 1].as_py(), batch.column("block")[batch.num_rows - 1].as_py())
+        last_key = key(batch, batch.num_rows - 1)
         if n >= rows:
             yield together(ready)
             ready, n = [], 0
     if ready or held:
         yield together(ready + held)
+
+
+def lists(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:
+    """Consecutive values as one list per group."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
