@@ -76,6 +76,41 @@ def test_snapshots_against_dicts(spark):
     assert got == sorted(expected)
 
 
+def test_snapshots_in_two_sessions(spark, tmp_path):
+    """The index is found again by a session that has never heard of its tables, and what it no longer needs is gone."""
+    folder, row = f"file://{tmp_path}", "label string, start long, stop long, digest string"
+    snapshot = lambda data: spark.createDataFrame(data, row)
+    first = snapshots.SnapshotIndex(spark, folder, 3)
+    assert first.load(snapshot([("a", 1, 2, "x"), ("a", 2, 3, None), ("b", 1, None, "z")]), 10).count() == 0
+    spark.sql(f"drop table tideline_{first.current['table']}")
+    second = snapshots.SnapshotIndex(spark.newSession(), folder, 99)
+    assert second.number == 10 and second.buckets == 3
+    got = second.load(snapshot([("a", 1, 2, "x"), ("a", 2, 3, "y"), ("c", 1, 1, None)]), 11)
+    assert rows(got) == [("a", 2, "changed", 3, None, 3, "y"), ("b", 1, "removed", None, "z", None, None), ("c", 1, "added", None, None, 1, None)]
+    tables = [p.name for p in tmp_path.iterdir() if p.name.startswith("snapshot_")]
+    assert tables == [second.current["table"]] and not any(t.name.endswith(first.current["table"]) for t in spark.catalog.listTables())
+    assert second.load(snapshot([("c", 1, 1, None)]), 12, values=False).count() == 2 and got.count() == 3
+    spark.sql(f"drop table tideline_{second.current['table']}")
+
+
+def test_one_join_for_a_snapshot(spark):
+    """Without old values a snapshot costs one join, and the bucketed sides are not shuffled for it."""
+    import unittest.mock
+
+    kind = type(spark.range(1))
+    plans, write = [], kind.write
+
+    def spy(self):
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return write.fget(self)
+
+    data = [(n, "a", i, i + n, "", 1, "b", None, "?") for n in (1, 2, 3) for i in range(50)]
+    with unittest.mock.patch.object(kind, "write", property(spy)):
+        assert snapshots.snapshot_changes(spark.createDataFrame(data, SNAP), 3, values=False).count() == 100
+    probes = [p for p in plans if "Join" in p]
+    assert len(probes) == 2 and all(p.count("ShuffledHashJoin") == 1 and "Exchange" not in p and "Sort " not in p for p in probes)
+
+
 def test_snapshots_of_nothing(spark):
     assert snapshots.snapshot_changes(spark.createDataFrame([], SNAP)).count() == 0
 

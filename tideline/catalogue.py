@@ -24,7 +24,7 @@ def p1_compacted(spark, d):
 
 
 def p2_found(spark, d):
-    return snapshots.snapshot_changes(table(spark, d, "commit_snapshot")).select("snapshot_no", "label", "start", "change_kind")
+    return snapshots.snapshot_changes(table(spark, d, "commit_snapshot"), values=False).select("snapshot_no", "label", "start", "change_kind")
 
 
 def p2_changes(spark, d):

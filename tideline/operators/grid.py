@@ -20,14 +20,14 @@ from pyspark.sql import types as T
 from tideline.plans.blocks import SERIES, carried, floats, ints, last_of, lists, versions, whole_groups
 from tideline.plans.shared import ship, written
 
-#: Periods of a block, and periods with readings that it is told of on each side. The smoother's memory is about (r/q)^(1/4) of them, 32 at most.
-PERIODS, EDGE = 4096, 160
+#: Periods of a block, and periods with readings that it is told of on each side at most: the smoother's memory is about (r/q)^(1/4) of them, 32 at most, and a block tells of eight times its own.
+PERIODS, EDGE = 4096, 256
 #: Readings further from their neighbours' median than so many standard deviations have their variance raised, so that spikes don't bend the level.
 GATE = 5.0
 #: Periods between two readings up to which a change of level is a step.
 NO_PAUSE = 4
 CELL = "array<struct<k: long, mean: double, offset: double, n: double>>"
-PACKED = f"label string, period_s long, low double, high double, block long, k array<long>, mean array<double>, offset array<double>, fit array<double>, observed array<double>, n array<int>, head {CELL}, tail {CELL}, min_k long, max_k long, near double, near_n long, far double, far_n long, spread double, spread_n long"
+PACKED = f"label string, period_s long, block long, k array<long>, mean array<double>, offset array<double>, fit array<double>, observed array<double>, n array<int>, head {CELL}, tail {CELL}, min_k long, max_k long, near double, near_n long, far double, far_n long, spread double, spread_n long"
 SCHEMA = "label string, period_start long, value double, sd double, observed double, n_readings int, missing boolean"
 ARROW = pa.schema([("label", pa.string()), ("period_start", pa.int64()), ("value", pa.float64()), ("sd", pa.float64()), ("observed", pa.float64()), ("n_readings", pa.int32()), ("missing", pa.bool_())])
 CELLS = pa.struct([("k", pa.int64()), ("mean", pa.float64()), ("offset", pa.float64()), ("n", pa.float64())])
@@ -157,10 +157,6 @@ def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = np.bincount(group, usable, len(starts))[group] - first - usable
         cell = pa.StructArray.from_arrays([pa.array(k), pa.array(mean), pa.array(offset), pa.array(fit)], fields=list(CELLS))
 
-        def edge(rank):
-            i = np.flatnonzero(usable & (rank < EDGE))
-            return lists(cell.take(pa.array(i)), np.bincount(group[i], minlength=len(starts)))
-
         stats = []
         for g, at in enumerate(starts):
             i = slice(at, at + sizes[g])
@@ -169,6 +165,14 @@ def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             near, far = second_difference(y, 1), second_difference(y, 8)
             some = y[np.isfinite(y)]
             stats.append((near[0] * near[1], near[1], far[0] * far[1], far[1], float(np.var(some)) * len(some) if len(some) else 0.0, len(some)))
+        # how far the block's own noise lets the smoother remember
+        r, q = noise(*np.array(stats, float).T)
+        reach = np.minimum(EDGE, 8 + np.ceil(8 * (r / q) ** 0.25)).astype(int)[group]
+
+        def edge(rank):
+            i = np.flatnonzero(usable & (rank < reach))
+            return lists(cell.take(pa.array(i)), np.bincount(group[i], minlength=len(starts)))
+
         arrays = [batch.column(c).take(pa.array(starts)) for c in (*SERIES, "block")]
         arrays += [lists(batch.column(c), sizes) for c in ("k", "mean", "offset", "fit", "observed", "n")]
         arrays += [edge(first), edge(left), pa.array(k[starts]), pa.array(k[starts + sizes - 1])]
@@ -242,7 +246,7 @@ def cells(readings: DataFrame, info: DataFrame) -> DataFrame:
     """The series' columns, k, n, fit, mean, offset, observed: one row per period with a value. One shuffle by (series, period), in which versions are resolved too, so that a dense period is summed where it is read."""
     rows = versions(readings, info).withColumn("k", F.floor(F.col("t") / F.col("period_s")))
     at = [*SERIES, "k"]
-    held = rows.repartition(*at).groupBy(*at, "t").agg(F.max(F.struct("ver", "value")).alias("h")).select(*at, "t", F.col("h.value").alias("value")).where("value is not null")
+    held = rows.repartition(*at).groupBy(*at, "t").agg(F.max(F.struct("ver", "value")).alias("h"), F.min("low").alias("low"), F.max("high").alias("high")).select(*at, "t", "low", "high", F.col("h.value").alias("value")).where("value is not null")
     finite = F.abs("value") != F.lit(float("inf"))
     good = finite & (F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high"))
     offset = (F.col("t") - F.col("k") * F.col("period_s")) / F.col("period_s")
@@ -261,7 +265,7 @@ def regular_grid(readings: DataFrame, info: DataFrame, periods: int = PERIODS) -
     repeated rows count once; see versions() for ties. Readings without label, time or a known collection are left
     out. Infinite values and those outside the collection's limits count as values but do not move the level; a label that has nothing else has null ``value`` and ``sd``. A label without any value has no rows, an empty table neither.
 
-    A block is smoothed together with the EDGE periods with readings on either side of it, however far away they are, under the noise of the whole label; what lies beyond those has lost its weight, see PERIODS. Writes one table of blocks.
+    A block is smoothed together with up to EDGE periods with readings on either side of it, however far away they are, under the noise of the whole label; what lies beyond those has lost its weight, see PERIODS. Writes one table of blocks.
     """
     ship(readings.sparkSession)
     own = cells(readings, info).withColumn("block", F.floor(F.col("k") / periods))

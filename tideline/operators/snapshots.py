@@ -1,23 +1,27 @@
 """What changed between full snapshots.
 
-An index of the last snapshot is kept as a table bucketed by key that holds only the key and a hash of the values
-compared. The next snapshot, bucketed alike, probes it without a shuffle; old values are fetched for changed keys
-alone; then the new index takes the place of the old.
+The last snapshot is kept as one table bucketed by key, with a hash of the values compared beside them: key and hash are the index, columns of their own
+in every file. The next snapshot, bucketed alike, probes the index without a shuffle of the old side; old values are read again only where they are asked for, joined to the changed keys. Then the new table takes
+the place of the old, which is dropped. A small file says which table holds, so that the next delivery may come in another session.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.plans.shared import new_path
+from tideline.plans.shared import forget, new_path
+from tideline.store.files import Files
 
 KEYS = ["label", "start"]
 #: Keys of a snapshot for each bucket, about.
 BUCKET = 50_000
+ROW = "label string, start long, stop long, digest string, h1 long, h2 int"
+CHANGE = "label string, start long, change_kind string, new_stop long, new_digest string"
+FULL = "snapshot_no long, label string, start long, change_kind string, old_stop long, old_digest string, new_stop long, new_digest string"
 
 
 def tidy_label(c: Column) -> Column:
@@ -32,38 +36,67 @@ def tidy_digest(c: Column) -> Column:
 
 
 class SnapshotIndex:
-    """Bucketed key-to-hash index of the last snapshot, and the bucketed values it points to."""
+    """The bucketed last snapshot in a folder: ``current.json`` names its table, which any session may open."""
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None):
-        self.spark = spark
-        self.buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        self.current: tuple[str, str] | None = None
-        self.number: int | None = None
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 1):
+        """``buckets`` counts for the first snapshot of a folder only: all later ones are bucketed alike."""
+        self.spark, self.files = spark, Files(spark, folder)
+        self.current = json.loads(self.files.read("current.json")) if self.files.exists("current.json") else None
+        self.buckets = self.current["buckets"] if self.current else buckets
 
-    def _bucketed(self, df: DataFrame, name: str) -> str:
-        table = f"tideline_{name}_{uuid.uuid4().hex}"
-        df.write.format("parquet").option("compression", "zstd").option("path", new_path(self.spark, name)).bucketBy(self.buckets, *KEYS).sortBy(*KEYS).saveAsTable(table)
-        return table
+    @property
+    def number(self) -> int | None:
+        return self.current and self.current["number"]
 
-    def load(self, rows: DataFrame) -> DataFrame:
-        """Takes the next snapshot (label, start, stop, digest; keys are unique) and returns its changes against the one held: label, start, change_kind, old_stop, old_digest, new_stop, new_digest.
+    def _table(self, name: str, create: bool = False) -> DataFrame:
+        """A bucketed table of the folder by its name; other sessions have to be told of its buckets."""
+        known = f"tideline_{name}"
+        if create or not self.spark.catalog.tableExists(known):
+            self.spark.sql(f"create table {known} ({ROW}) using parquet clustered by ({', '.join(KEYS)}) into {self.buckets} buckets location '{self.files.uri(name)}'")
+        return self.spark.table(known)
 
-        The first snapshot has no changes. The result reads written tables only and stays valid after later loads.
+    def load(self, rows: DataFrame, number: int, values: bool = True) -> DataFrame:
+        """Takes the next snapshot (label, start, stop, digest; keys are unique), writes its changes against the one held and returns them: label, start, change_kind, old_stop, old_digest, new_stop, new_digest.
+
+        The first snapshot has no changes. Without ``values`` the old ones stay null and nothing but key and hash is read of the old table. The result stays valid after later loads.
         """
-        hashed = rows.repartition(self.buckets, *KEYS).select("label", "start", "stop", "digest", F.xxhash64(F.struct("stop", "digest")).alias("h1"), F.hash(F.struct("digest", "stop")).alias("h2"))
-        values = self._bucketed(hashed.select("label", "start", "stop", "digest", "h1", "h2"), "values")
-        index = self._bucketed(self.spark.table(values).select("label", "start", "h1", "h2"), "index")
-        previous, self.current = self.current, (index, values)
-        if previous is None:
-            return self.spark.createDataFrame([], "label string, start long, change_kind string, old_stop long, old_digest string, new_stop long, new_digest string")
-        old = self.spark.table(previous[0]).select("label", "start", F.struct("h1", "h2").alias("old"))
-        new = self.spark.table(index).select("label", "start", F.struct("h1", "h2").alias("new"))
-        probe = old.join(new, KEYS, "full_outer").where("not (old <=> new)")
-        kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("changed")
-        changes = probe.select("label", "start", kind.alias("change_kind"))
-        was = self.spark.table(previous[1]).select("label", "start", F.col("stop").alias("old_stop"), F.col("digest").alias("old_digest"))
-        now = self.spark.table(values).select("label", "start", F.col("stop").alias("new_stop"), F.col("digest").alias("new_digest"))
-        return changes.join(was, KEYS, "left").join(now, KEYS, "left")
+        name = f"snapshot_{uuid.uuid4().hex}"
+        hashed = rows.select("label", "start", "stop", "digest", F.xxhash64(F.struct("stop", "digest")).alias("h1"), F.hash(F.struct("digest", "stop")).alias("h2"))
+        hashed.repartition(self.buckets, *KEYS).write.format("parquet").option("compression", "zstd").option("path", self.files.uri(name)).bucketBy(self.buckets, *KEYS).saveAsTable(f"tideline_{name}")
+        path = self.files.uri(f"changes/{number}")
+        found = None
+        if self.current:
+            held = self._table(self.current["table"])
+            old = held.select(*KEYS, F.struct("h1", "h2").alias("old"))
+            new = self._table(name).select(*KEYS, "stop", "digest", F.struct("h1", "h2").alias("new"))
+            # buckets are of bounded size: hashed, they need no sort
+            probe = new.join(old.hint("shuffle_hash"), KEYS, "full_outer").where("not (old <=> new)")
+            kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("changed")
+            found = probe.select(*KEYS, kind.alias("change_kind"), F.col("stop").alias("new_stop"), F.col("digest").alias("new_digest"))
+            if values:
+                aside = self.files.uri(f"probed/{number}")
+                found.write.mode("overwrite").option("compression", "zstd").parquet(aside)
+                found = self.spark.read.schema(CHANGE).parquet(aside)
+                was = held.select(*KEYS, F.col("stop").alias("old_stop"), F.col("digest").alias("old_digest"))
+                changed = found.where("change_kind <> 'added'")
+                fetched = was.join(changed.hint("shuffle_hash"), KEYS, "right").select(*changed.columns, "old_stop", "old_digest")
+                found = fetched.unionByName(found.where("change_kind = 'added'"), allowMissingColumns=True)
+            found.write.mode("overwrite").option("compression", "zstd").parquet(path)
+            self.files.remove(f"probed/{number}")
+        before, self.current = self.current, {"number": number, "table": name, "buckets": self.buckets}
+        self.files.remove("next.json")
+        self.files.create("next.json", json.dumps(self.current))
+        self.files.remove("current.json")
+        self.files.rename("next.json", "current.json")
+        if before:
+            self.drop(before["table"])
+        empty = self.spark.createDataFrame([], f"{CHANGE}, old_stop long, old_digest string")
+        columns = [*KEYS, "change_kind", "old_stop", "old_digest", "new_stop", "new_digest"]
+        return (empty if found is None else self.spark.read.schema(empty.schema).parquet(path)).select(*columns)
+
+    def drop(self, name: str) -> None:
+        self.spark.sql(f"drop table if exists tideline_{name}")
+        self.files.remove(name)
 
 
 def delivered(snapshots: DataFrame) -> DataFrame:
@@ -79,8 +112,8 @@ def delivered(snapshots: DataFrame) -> DataFrame:
     return best.select("snapshot_no", "label", "start", "b.stop", "b.digest")
 
 
-def snapshot_changes(snapshots: DataFrame, buckets: int | None = None) -> DataFrame:
-    """snapshot_no, label, start, change_kind, old_stop, old_digest, new_stop, new_digest between each delivered snapshot and the delivered one before it.
+def snapshot_changes(snapshots: DataFrame, buckets: int | None = None, values: bool = True) -> DataFrame:
+    """snapshot_no, label, start, change_kind, old_stop, old_digest, new_stop, new_digest between each delivered snapshot and the delivered one before it; without ``values`` the last four are not looked for and null.
 
     A stop or digest that is null is a value of its own. The number of snapshots is that of deliveries (a handful), never of rows; each snapshot is read,
     hashed and bucketed once. An empty table gives no rows.
@@ -88,15 +121,20 @@ def snapshot_changes(snapshots: DataFrame, buckets: int | None = None) -> DataFr
     spark = snapshots.sparkSession
     path = new_path(spark, "deliveries")
     delivered(snapshots).write.option("compression", "zstd").partitionBy("snapshot_no").parquet(path)
-    schema = "label string, start long, stop long, digest string, snapshot_no long"
-    rows = spark.read.schema(schema).parquet(path)
-    numbers = sorted(r[0] for r in snapshots.where("snapshot_no is not null").select(F.col("snapshot_no").cast("long")).distinct().collect())
-    largest = rows.groupBy("snapshot_no").count().agg(F.max("count")).first()[0] or 0
-    index = SnapshotIndex(spark, buckets or max(1, min(4096, -(-largest // BUCKET))))
-    changes = []
-    for number in numbers:
-        found = index.load(rows.where(F.col("snapshot_no") == number).drop("snapshot_no"))
-        changes.append(found.select(F.lit(number).cast("long").alias("snapshot_no"), "*"))
-    if not changes:
-        changes = [spark.createDataFrame([], "snapshot_no long, label string, start long, change_kind string, old_stop long, old_digest string, new_stop long, new_digest string")]
-    return reduce(DataFrame.unionByName, changes)
+    rows = spark.read.schema("label string, start long, stop long, digest string, snapshot_no long").parquet(path)
+    sizes = {r[0]: 0 for r in snapshots.where("snapshot_no is not null").select(F.col("snapshot_no").cast("long")).distinct().collect()}  # one row per delivery
+    sizes |= {r[0]: r[1] for r in rows.groupBy("snapshot_no").count().collect()}
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    folder = new_path(spark, "snapshots")
+    index = SnapshotIndex(spark, folder, buckets or max(1, min(most, -(-max(sizes.values(), default=0) // BUCKET))))
+    for number in sorted(sizes):
+        index.load(rows.where(F.col("snapshot_no") == number).drop("snapshot_no"), number, values)
+    if index.current:
+        index.drop(index.current["table"])
+    forget(spark, path)
+    if len(sizes) < 2:
+        return spark.createDataFrame([], FULL)
+    one = spark.read.schema(f"{CHANGE}, old_stop long, old_digest string").parquet(*(f"{folder}/changes/{n}" for n in sorted(sizes)[1:]))
+    number = F.regexp_extract(F.col("_metadata.file_path"), r"/changes/(-?[0-9]+)/", 1).cast("long")
+    columns = [*KEYS, "change_kind", "old_stop", "old_digest", "new_stop", "new_digest"]
+    return one.select(number.alias("snapshot_no"), *columns)

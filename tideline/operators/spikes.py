@@ -38,10 +38,10 @@ MARGIN, EDGE = 16, 32
 LEAST = 12
 
 POINT = "array<struct<t: long, v: double, x: double, sparse: boolean, bad: boolean>>"
-SCHEMA = f"label string, period_s long, low double, high double, block long, epoch_s long, kind string, departure double, pairs long, equal_pairs long, scatter double, n_scatter long, head {POINT}, tail {POINT}"
+SCHEMA = f"label string, period_s long, block long, epoch_s long, kind string, departure double, pairs long, equal_pairs long, scatter double, n_scatter long, head {POINT}, tail {POINT}"
 FOUND = "label string, epoch_s long, kind string, departure double, pairs long, equal_pairs long, scatter double, n_scatter long"
 POINTS = pa.struct([("t", pa.int64()), ("v", pa.float64()), ("x", pa.float64()), ("sparse", pa.bool_()), ("bad", pa.bool_())])
-ARROW = pa.schema([("label", pa.string()), ("period_s", pa.int64()), ("low", pa.float64()), ("high", pa.float64()), ("block", pa.int64()), ("epoch_s", pa.int64()), ("kind", pa.string()), ("departure", pa.float64()), ("pairs", pa.int64()), ("equal_pairs", pa.int64()), ("scatter", pa.float64()), ("n_scatter", pa.int64()), ("head", pa.list_(POINTS)), ("tail", pa.list_(POINTS))])
+ARROW = pa.schema([("label", pa.string()), ("period_s", pa.int64()), ("block", pa.int64()), ("epoch_s", pa.int64()), ("kind", pa.string()), ("departure", pa.float64()), ("pairs", pa.int64()), ("equal_pairs", pa.int64()), ("scatter", pa.float64()), ("n_scatter", pa.int64()), ("head", pa.list_(POINTS)), ("tail", pa.list_(POINTS))])
 FOUND_ARROW = pa.schema([ARROW.field(n) for n in ("label", "epoch_s", "kind", "departure", "pairs", "equal_pairs", "scatter", "n_scatter")])
 
 
@@ -223,7 +223,7 @@ def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit = np.flatnonzero(kinds >= 0)
         none = lambda size, kind: pa.nulls(size, kind)
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c).take(pa.array(hit)) for c in (*SERIES, "block")), pa.array(t[hit]), pa.array(["impossible", "stuck", "spike"]).take(pa.array(kinds[hit])), pa.array(far[hit]), *(none(len(hit), f.type) for f in list(ARROW)[8:])],
+            [*(batch.column(c).take(pa.array(hit)) for c in (*SERIES, "block")), pa.array(t[hit]), pa.array(["impossible", "stuck", "spike"]).take(pa.array(kinds[hit])), pa.array(far[hit]), *(none(len(hit), f.type) for f in list(ARROW)[6:])],
             schema=ARROW,
         )
         points = pa.StructArray.from_arrays([pa.array(t), pa.array(v), pa.array(x), pa.array(sparse), pa.array(bad)], fields=list(POINTS))
@@ -238,7 +238,7 @@ def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 *(batch.column(c).take(pa.array(starts)) for c in (*SERIES, "block")),
-                *(none(len(starts), f.type) for f in list(ARROW)[5:8]),
+                *(none(len(starts), f.type) for f in list(ARROW)[3:6]),
                 pa.array(paired),
                 pa.array(equal),
                 pa.array([s for s, _ in scatters], pa.float64()),

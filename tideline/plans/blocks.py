@@ -20,8 +20,8 @@ from tideline.functions.times import since_1970
 
 #: Sorts before every real publication time.
 NO_PUBTIME = -(2**60)
-#: What makes a series: a label, and what its collection says of it.
-SERIES = ["label", "period_s", "low", "high"]
+#: What makes a series: a label, and its collection's period.
+SERIES = ["label", "period_s"]
 #: Non-empty blocks on each side that a block is told of, and blocks for which that is found out together.
 LOOK, TOGETHER = 8, 4096
 
@@ -32,7 +32,7 @@ def versions(readings: DataFrame, info: DataFrame) -> DataFrame:
     ``ver`` orders the versions of one (label, t): by publication time (null first), then a version with a number
     before one without. NaN counts as no number and comes out as null. ``info`` is one row per collection; its first row by period and limits is
     taken if a collection is repeated. Collections without a positive period are left out. Limits that are null come out infinite. A label is expected in one collection; in
-    several of different periods or limits it is a series in each of them.
+    several of different periods it is a series in each of them.
     """
     info = info.where("collection is not null and period_s > 0").groupBy("collection").agg(F.min(F.struct(F.col("period_s").cast("long").alias("period_s"), F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"))).alias("i"))
     value = F.when(~F.isnan("value"), F.col("value"))
@@ -95,7 +95,7 @@ def floats(batch, name: str) -> np.ndarray:
 
 def group_starts(batch: pa.RecordBatch, at: str | None = None) -> np.ndarray:
     """Where a (series, block) begins; with ``at`` also where that column changes."""
-    return run_starts(batch.column("label"), *(ints(batch, c) for c in ("period_s", "block", *([at] if at else []))), *(floats(batch, c) for c in ("low", "high")))
+    return run_starts(batch.column("label"), *(ints(batch, c) for c in ("period_s", "block", *([at] if at else []))))
 
 
 def latest(batch: pa.RecordBatch, at: str) -> pa.RecordBatch:

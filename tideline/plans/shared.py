@@ -6,6 +6,8 @@ lost executor costs a re-read and never a result.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 import zipfile
@@ -42,8 +44,30 @@ def ship(spark: SparkSession) -> None:
     context._tideline_shipped = True
 
 
+#: Working folders of this process that are to go at its end.
+_LEFT: list[tuple] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tideline/{name}-{uuid.uuid4().hex}"
+    """A fresh folder for working tables. It lives as long as the driver's process, unless forget() takes it away before: what a query returned may be read until then."""
+    path = f"{shared_dir(spark)}/tideline/{name}-{uuid.uuid4().hex}"
+    if not _LEFT:
+        atexit.register(_clear)
+    _LEFT.append(file_system(spark, path))
+    return path
+
+
+def forget(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        fs, where = file_system(spark, path)
+        fs.delete(where, True)
+
+
+def _clear() -> None:
+    for fs, where in _LEFT:
+        with contextlib.suppress(Exception):  # the JVM may be gone first
+            fs.delete(where, True)
+    _LEFT.clear()
 
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
