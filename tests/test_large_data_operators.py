@@ -193,6 +193,13 @@ def test_rejects_values_and_missing_header(spark):
     assert both.reasons == ["timestamp", "value"]
 
 
+def test_no_character_is_special(spark):
+    """No stand-in for commas: whatever a quoted field holds comes out as it is."""
+    odd = '"a\ue0f2b\x00,c\ue0f2"'
+    df = spark.createDataFrame([(1, 1, "x", "timestamp,value,note", ""), (1, 2, "x", f"2024-01-01,1,{odd}", ""), (1, 3, "x", "2024-01-01,1,\ue0f2", "")], LINES)
+    assert [r.note for r in rejects.loaded(df).orderBy("line_no").collect()] == ["a\ue0f2b\x00,c\ue0f2", "\ue0f2"]
+
+
 def test_rejects_long_lines(spark):
     df = spark.createDataFrame([(1, 1, "x", "timestamp,value,note", ""), (1, 2, "x", '2024-01-01,1,"' + 'a""' * 200_000 + '"', ""), (1, 3, "x", "2024-01-01,1," + "," * 100_000, "")], LINES)
     assert rows(rejects.rejected(df), "line_no", "reason") == [(3, "columns")]

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Stands for a comma inside a quoted field while a line is split.
-COMMA = "\ue0f2"
+#: A field: enclosed in double quotes with those inside doubled, or without any. Possessive, so that a line is read once and no recursion grows with it.
+FIELD = r'"[^"]*+(?:""[^"]*+)*+"|[^",]*+'
 NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ]([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9])?)?$"
 #: The order in which reasons apply.
@@ -22,30 +22,19 @@ def clean(line: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(line, r"\r+$", ""), "^\\uFEFF", "")
 
 
-def quotes(line: Column) -> Column:
-    """What lies between double quotes (odd positions) and outside of them (even positions)."""
-    return F.split(line, '"', -1)
-
+def fields(line: Column) -> Column:
+    """The fields of a line one after the other, quotes and all. They make up the whole line only if its quoting is right."""
+    return F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(f"({FIELD}),"), F.lit(1))
 
-def quoting_ok(line: Column) -> Column:
-    """A field with a quote is enclosed in quotes and doubles those inside.
 
-    Then the number of quotes is even, and what lies outside of them is nothing (a doubled quote), or starts and
-    ends with a comma; at the ends of the line one comma is enough.
-    """
-    parts = quotes(line)
-    n = F.size(parts)
-    edge_ok = (n == 1) | (((parts[0] == "") | parts[0].endswith(",")) & ((F.element_at(parts, -1) == "") | F.element_at(parts, -1).startswith(",")))
-    # nothing in the function below depends on the whole line: it is called once for each part
-    between = F.transform(F.slice(parts, F.lit(2), F.greatest(n - 2, F.lit(0))), lambda x, i: (i % 2 == 0) | (x == "") | (x.startswith(",") & x.endswith(",")))
-    return (n % 2 == 1) & edge_ok & F.forall(between, lambda ok: ok)
+def quoting_ok(line: Column, cells: Column) -> Column:
+    """A field with a quote is enclosed in quotes and doubles those inside: then nothing of the line lies between its fields."""
+    return F.array_join(cells, ",") == line
 
 
-def fields(line: Column) -> Column:
-    """The fields of a line whose quoting is right, as text without their quotes."""
-    masked = F.array_join(F.transform(quotes(line), lambda x, i: F.when(i % 2 == 1, F.replace(x, F.lit(","), F.lit(COMMA))).otherwise(x)), '"')
-    bare = lambda x: F.when(x.startswith('"'), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)
-    return F.transform(F.split(masked, ",", -1), lambda x: F.replace(bare(x), F.lit(COMMA), F.lit(",")))
+def bare(field: Column) -> Column:
+    """The text of a field."""
+    return F.when(field.startswith('"'), F.replace(F.substring(field, F.lit(2), F.length(field) - 2), F.lit('""'), F.lit('"'))).otherwise(field)
 
 
 def as_time(text: Column) -> Column:
@@ -68,12 +57,12 @@ def parsed(lines: DataFrame) -> DataFrame:
     """
     rows = lines.where("file_no is not null and line_no is not null").groupBy(F.col("file_no").cast("long").alias("file_no"), F.col("line_no").cast("long").alias("line_no")).agg(F.max(F.struct("line", "label")).alias("r"))
     rows = rows.select("file_no", "line_no", "r.label", clean(F.col("r.line")).alias("line"))
-    head = rows.where("line_no = 1").select("file_no", F.transform(fields(F.col("line")), lambda x: F.lower(F.trim(x))).alias("names"))
-    head = head.select("file_no", "names", *(F.array_position("names", F.lit(c)).cast("int").alias(f"at_{c}") for c in ("timestamp", "value", "category", "note")))
-    df = rows.where("line_no > 1").join(head, "file_no", "left")
-    df = df.withColumn("good", F.coalesce(quoting_ok(F.col("line")), F.lit(True))).withColumn("cells", F.when(F.col("good"), fields(F.col("line"))))
-    text = lambda c: F.when(F.col(f"at_{c}") > 0, F.try_element_at("cells", F.col(f"at_{c}")))
-    df = df.select("file_no", "line_no", "label", "good", F.trim(F.col("line")).alias("stripped"), F.size("cells").alias("n"), F.size("names").alias("wanted"), *(F.trim(text(c)).alias(f"{c}_text") for c in ("timestamp", "value")), *(text(c).alias(c) for c in ("category", "note")), (F.coalesce(F.col("at_timestamp"), F.lit(0)) > 0).alias("has_t"), (F.coalesce(F.col("at_value"), F.lit(0)) > 0).alias("has_v"))
+    head = rows.where("line_no = 1").select("file_no", F.transform(fields(F.col("line")), lambda x: F.lower(F.trim(bare(x)))).alias("names"))
+    head = head.select("file_no", F.size("names").alias("wanted"), *(F.array_position("names", F.lit(c)).cast("int").alias(f"at_{c}") for c in ("timestamp", "value", "category", "note")))
+    df = rows.where("line_no > 1").withColumn("cells", fields(F.col("line"))).withColumn("good", F.coalesce(quoting_ok(F.col("line"), F.col("cells")), F.lit(True)))
+    df = df.join(head, "file_no", "left")
+    text = lambda c: F.when(F.col("good") & (F.col(f"at_{c}") > 0), bare(F.try_element_at("cells", F.col(f"at_{c}"))))
+    df = df.select("file_no", "line_no", "label", "good", F.trim(F.col("line")).alias("stripped"), F.size("cells").alias("n"), "wanted", *(F.trim(text(c)).alias(f"{c}_text") for c in ("timestamp", "value")), *(text(c).alias(c) for c in ("category", "note")), (F.coalesce(F.col("at_timestamp"), F.lit(0)) > 0).alias("has_t"), (F.coalesce(F.col("at_value"), F.lit(0)) > 0).alias("has_v"))
     df = df.withColumn("timestamp", as_time(F.col("timestamp_text"))).withColumn("value", as_number(F.col("value_text")))
     columns_ok = F.coalesce((F.col("stripped") != "") & (F.col("n") == F.col("wanted")) & F.col("has_t") & F.col("has_v"), F.lit(False))
     rules = (("quoting", F.col("good")), ("columns", ~F.col("good") | columns_ok), ("timestamp", F.col("timestamp").isNotNull()), ("value", F.col("value").isNotNull()))
