@@ -26,7 +26,26 @@ def test_compaction(spark):
     got = [(r.label, r.digest, r.timestamp, None if r.value is None else str(r.value)) for r in done.table.collect()]
     f1 = [(1, "1.0"), (2, None), (3, "nan")]
     assert sorted(got, key=str) == sorted([(x, "f1", t, v) for x in "ab" for t, v in f1] + [("a", "f2", 11, "5.0")], key=str)
-    assert rows(done.report) == [("a", 2, 4), ("b", 2, 3)]
+    assert rows(done.report) == [("a", 2, 1, 4), ("b", 2, 1, 3)]
+    new = done.manifest.collect()
+    assert sorted((r.label, r.start, r.stop, r.length, r.closed) for r in new) == [("a", 1, 11, 4, "b"), ("b", 1, 3, 3, "b")]
+    assert all(len(r.digest) == 40 and spark.read.parquet(r.path).where(f"label = '{r.label}'").count() == r.length for r in new)
+
+
+def test_compaction_notices_a_lost_record(spark, monkeypatch):
+    """A record that gets lost after the first reading, in the join already, stops the commit."""
+    m = spark.createDataFrame([("a", 0, 1, f"d{i}", 1, "b", 0) for i in range(9)], MANIFEST)
+    s = spark.createDataFrame([(f"d{i}", t, float(t), "") for i in range(9) for t in range(5)], STORED)
+    whole, calls = compaction.held, []
+
+    def leaky(records):
+        calls.append(1)
+        return whole(records) if len(calls) == 1 else whole(records).where("not (digest = 'd3' and timestamp = 2)")
+
+    monkeypatch.setattr(compaction, "held", leaky)
+    with pytest.raises(RuntimeError, match="not committed"):
+        compaction.compact(m, s)
+    assert len(calls) == 2
 
 
 def test_compaction_of_nothing(spark):

@@ -20,7 +20,18 @@ def p1_found(spark, d):
 
 
 def p1_compacted(spark, d):
-    return compaction.compact(table(spark, d, "commit_row"), table(spark, d, "stored_row")).report
+    return compaction.compact(table(spark, d, "commit_row"), table(spark, d, "stored_row")).report.drop("files_after")
+
+
+def p1_manifest(spark, d):
+    """What the new manifest rows cover of each label."""
+    rows = compaction.compact(table(spark, d, "commit_row"), table(spark, d, "stored_row")).manifest
+    return rows.groupBy("label").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("length").alias("length"))
+
+
+def p1_records(spark, d):
+    """The records that are in the new files, under the digests of the old ones."""
+    return compaction.compact(table(spark, d, "commit_row"), table(spark, d, "stored_row")).table
 
 
 def p2_found(spark, d):
@@ -62,4 +73,4 @@ def p5_limits_and_runs(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_compacted, p2_found, p2_changes, p3_found, p3_grid, p3_observed, p4_found, p4_loaded, p5_found, p5_limits_and_runs)}
+    return {f.__name__: f for f in (p1_found, p1_compacted, p1_manifest, p1_records, p2_found, p2_changes, p3_found, p3_grid, p3_observed, p4_found, p4_loaded, p5_found, p5_limits_and_runs)}

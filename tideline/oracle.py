@@ -21,6 +21,15 @@ select l.label, count(*)::bigint as files_before, coalesce(sum(n.n), 0)::bigint
 from listed l left join n using (digest) join files f on f.label = l.label
 where coalesce(n.n, 0) < 64 and f.n_files > 1 group by 1"""
 
+P1_MERGED = """with listed as (select distinct label, digest from commit_row where label is not null and digest is not null),
+held as (select digest, timestamp, max(value) filter (not isnan(value)) as v, bool_or(isnan(value)) as has_nan from stored_row where digest is not null and timestamp is not null group by 1, 2),
+n as (select digest, count(*) as n from held group by 1),
+files as (select label, count(*) as n_files from listed group by 1),
+merged as (select l.label, l.digest from listed l left join n using (digest) join files f on f.label = l.label where coalesce(n.n, 0) < 64 and f.n_files > 1),
+records as (select m.label, m.digest, h.timestamp, case when h.has_nan then 'nan'::double else h.v end as value from merged m join held h using (digest))"""
+P1_MANIFEST = P1_MERGED + " select label, min(timestamp) as start, max(timestamp) as stop, count(*)::bigint as length from records group by 1"
+P1_RECORDS = P1_MERGED + " select label, digest, timestamp, value from records"
+
 P2_BASE = """with r as (
     select snapshot_no::bigint as snapshot_no, lower(trim(label)) as label, start, stop,
            nullif(regexp_extract(lower(digest), '[0-9a-f]{40}'), '') as digest, delivered_at from commit_snapshot),
@@ -86,4 +95,4 @@ P4_LOADED = (
 
 
 def sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_compacted": P1_COMPACTED, "p2_found": P2_FOUND, "p2_changes": P2_CHANGES, "p3_found": P3_FOUND, "p3_observed": P3_OBSERVED, "p4_loaded": P4_LOADED, "p5_limits_and_runs": P5_LIMITS_AND_RUNS, "p4_found": P4_FOUND}
+    return {"p1_found": P1_FOUND, "p1_compacted": P1_COMPACTED, "p1_manifest": P1_MANIFEST, "p1_records": P1_RECORDS, "p2_found": P2_FOUND, "p2_changes": P2_CHANGES, "p3_found": P3_FOUND, "p3_observed": P3_OBSERVED, "p4_loaded": P4_LOADED, "p5_limits_and_runs": P5_LIMITS_AND_RUNS, "p4_found": P4_FOUND}
