@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from tideline.llm.messages import anchor_pattern, fold, message_pattern, rules, squeeze, tree
+from tideline.llm.messages import anchor_pattern, fold, rules, squeeze, tree
 from tideline.llm.residue import residue
 
 CASES = [
@@ -15,7 +15,7 @@ CASES = [
     # wordings and languages that no test table has
     "Por favor, active JavaScript para ver esta página.", "Pagina non trovata. Abilita JavaScript", "Turn scripting on to continue", "Für diese Ansicht wird JavaScript benötigt.", "Error 404", "502 Bad Gateway nginx", "The requested URL was not found on this server.",
     "Morbi in sem quis dui placerat ornare. Pellentesque odio nisi, euismod in.", "This is placeholder text.", "TypeError: undefined is not a function", "Fatal error: Uncaught exception", "Uw sessie is helaas verlopen", "El servicio no está disponible: error interno del servidor",
-    "tellum praetoris mandatum fructis agrorum venturis calidum nostris", "Votre navigateur ne prend pas en charge les scripts", "Error interno. Inténtelo de nuevo más tarde", "Titolo qui. Testo qui.", "placeholder placeholder placeholder",
+    "tellum praetoris mandatum fructis agrorum venturis calidum nostris", "Votre navigateur ne prend pas en charge les scripts", "Error interno. Inténtelo de nuevo más tarde", "Titolo qui. Testo qui.", "placeholder placeholder placeholder", "Sample text sample text",
     "For example ${name} is set by the clerk. The council met. By ${byline}",
     "Mr. Fox  Too many re-\nsold two  quests. Wait 5\nhorses.  seconds and reload\nHe left.  the page.",
 ]
@@ -61,7 +61,6 @@ def test_tree():
     words = ["abc", "abd", "x", "xyz", "b(c"]
     p = re.compile(tree(words))
     assert all(p.fullmatch(w) for w in words) and not p.search("ab b")
-    assert re.compile(message_pattern()).search(squeeze("Wait 5 seconds and reload the page"))
 
 
 def test_anchors_cover_their_rules():
@@ -71,7 +70,7 @@ def test_anchors_cover_their_rules():
         for word in anchor.split(","):
             assert quick.search(squeeze(word.replace(".", " "))), word
     found = ["please enable javascript", "404 not found", "your session has expired", "headline goes here", "key error"]
-    assert all(quick.search(squeeze(x)) and re.search(message_pattern(), squeeze(x)) for x in found)
+    assert all(quick.search(squeeze(x)) and any(re.search(p, squeeze(x)) for _, p in rules()) for x in found)
 
 
 def test_alternating_columns(spark):

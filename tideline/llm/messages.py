@@ -175,29 +175,21 @@ def rules() -> list[tuple[str, str]]:
         (HERE, rf"{any_of(HERE)}\.{{0,2}}(?:{any_of(HERE)}|{any_of(FOLLOWS)})"),
         (FOLLOWS, rf"({any_of(FOLLOWS)})\.{{0,2}}\1"),
         (INSERT, any_of(INSERT)),
-        (DUMMY_TEXT, rf"{any_of(THIS_IS)}{any_of(DUMMY_TEXT)}|({any_of(DUMMY_TEXT)})\.{{0,2}}\2"),
+        (DUMMY_TEXT, rf"{any_of(THIS_IS)}{any_of(DUMMY_TEXT)}|({any_of(DUMMY_TEXT)})\.{{0,2}}\1"),
         (FILLS, near(FILLS, PURPOSE, 25)),
         (TEST_PAGE, near(TEST_PAGE, NO_PUBLISHING, 8)),
     ]
 
 
-def message_pattern() -> str:
-    """All rules, for squeezed text that has an anchor."""
-    out, groups = [], 0
-    for _, p in rules():
-        out.append(re.sub(r"\\([12])(?![0-9])", rf"\\{groups + 1}", p))
-        groups += len(re.findall(r"(?<!\\)\((?!\?)", p))
-    return "|".join(out)
-
-
 #: Letters of folded texts from the rarest on.
 RARE = "xzkpwgmdshtrnio"
 
 
-def anchor_pattern() -> str:
-    """Whether any rule can match, in one quick pass: each anchor is looked for from its rarest letter on, looking behind for what precedes it."""
-    words = {max(map(squeeze, w.split(".")), key=len) for a, _ in rules() for w in listed(a)} | {squeeze(w) * 2 for w in REPEATED.split()} | {"xxx"}
-    words |= {squeeze(w) for w in MOCK_LATIN.split() if len(w) >= LONG} | {squeeze("lorem ipsum")}
+def anchor_pattern(anchors: list[str] | None = None) -> str:
+    """Whether a text has any word of these anchors (all there are, if none are given), in one quick pass: each word is looked for from its rarest letter on, looking behind for what precedes it."""
+    words = {max(map(squeeze, w.split(".")), key=len) for a in anchors or [a for a, _ in rules()] for w in listed(a)}
+    if anchors is None:
+        words |= {squeeze(w) * 2 for w in REPEATED.split()} | {"xxx", squeeze("lorem ipsum")} | {squeeze(w) for w in MOCK_LATIN.split() if len(w) >= LONG}
     words = {w for w in words if not any(o != w and o in w for o in words)}
     by_letter: dict[str, list[str]] = {}
     for w in sorted(words):
@@ -231,7 +223,7 @@ def made_up_latin_patterns() -> tuple[str, str]:
     word = lambda ends: rf"\p{{L}}{{2,}}+(?<=(?:{ends}))(?<!\b(?:{living}))"
     ends = "um|us|is|am|em|im|or|ur|ir|[^a]it|at|et|unt"
     strong, weak, gap = word(ends), word("[aeio]"), r"[\s.,]{1,3}"
-    row = rf"(?:{ends}){gap}(?:(?:{weak}{gap}){{0,2}}{strong}{gap}){{4}}(?:{weak}{gap}){{0,2}}{strong}"  # begins with the end of a word, which few words have
+    row = rf"[msrt][\s.,](?<=(?:{ends})[\s.,])[\s.,]{{0,2}}(?:(?:{weak}{gap}){{0,2}}{strong}{gap}){{4}}(?:{weak}{gap}){{0,2}}{strong}"  # begins with the end of a word, which few words have
     alone = rf"^(?=(?:[^\n]{{0,400}}?\b{strong}){{3}})[\s.,]*(?:(?:{strong}|{weak})[\s.,]+){{4}}(?:(?:{strong}|{weak})[\s.,]*)+$"
     return row, alone
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.messages import CONFUSED, FOLDED_TO, PAIRS, anchor_pattern, filler_pattern, fold, known_latin_pattern, made_up_latin_patterns, message_pattern, squeezed
+from tideline.llm.messages import CONFUSED, FOLDED_TO, PAIRS, anchor_pattern, filler_pattern, fold, known_latin_pattern, made_up_latin_patterns, rules, squeezed
 
 #: Names that templates give their fields, where a delimiter alone (French quotation marks) proves nothing.
 FIELDS = "author byline headline title subtitle date lead editor section caption newspaper place publisher name body content text summary keywords".split()
@@ -86,6 +86,13 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Further columns, each worked out once for a row: the optimiser would otherwise write their expressions out wherever filters and later columns name them."""
+    for name, c in columns.items():
+        df = df.select("*", F.explode(F.array(c)).alias(name))
+    return df
+
+
 def in_columns(lines: Column, column) -> Column:
     """The lines put together column by column; column(i) is the column of line i. Null if that is their order anyway."""
     placed = F.transform(lines, lambda x, i: F.struct(column(i).alias("column"), i.alias("i"), x.alias("line")))
@@ -143,7 +150,7 @@ def left_over(read: Column) -> Column:
     coded = rf"```[^`]*```|`[^`\n]{{1,200}}`|<{fold('code')}>[^<]*</{fold('code')}>|<{fold('pre')}>[^<]*</{fold('pre')}>"
     plain = F.regexp_replace(F.regexp_replace(folded(read), r"[\s ]+", " "), coded, " ")
     every = lambda text: F.regexp_extract_all(text, F.lit(f"({found})"), F.lit(1))
-    judged = let(plain, lambda p: F.struct(F.size(every(p)).alias("n"), every(F.regexp_replace(p, introduced_pattern(), " ")).alias("left")))
+    judged = let(plain, lambda p: F.when(p.rlike(found), F.struct(F.size(every(p)).alias("n"), every(F.regexp_replace(p, introduced_pattern(), " ")).alias("left"))))
     return let(judged, lambda j: F.when(F.size(j["left"]) * LESSON > j["n"], F.get(j["left"], F.lit(0))))
 
 
@@ -156,13 +163,14 @@ def residue(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     """
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     kept = [id_column, *(keep or [])]
-    df = documents.select(*kept, readings(text, F.col(box_column) if box_column in documents.columns else None).alias("_read"))
-    df = df.select(*kept, "_read", squeezed(F.col("_read")).alias("_squeezed"))
+    df = once(documents.select(*kept, text.alias("_text"), *([F.col(box_column).alias("_boxes")] if box_column in documents.columns else [])), _read=readings(F.col("_text"), F.col("_boxes") if box_column in documents.columns else None))
+    df = once(df.select(*kept, "_read"), _squeezed=squeezed(F.col("_read")))
     none = lambda c: F.when(c != "", c)
     # what follows is costly only where a delimiter or an anchor stands
     placeholder = F.when(F.col("_read").rlike(DELIMITERS), left_over(F.col("_read")))
-    said = F.coalesce(none(F.regexp_extract("_squeezed", message_pattern(), 0)), none(F.regexp_extract(folded(F.col("_read")), filler_pattern(), 0)), none(F.regexp_extract("_read", known_latin_pattern(), 0)))
+    said = F.coalesce(*(F.when(F.col("_squeezed").rlike(anchor_pattern([a])), none(F.regexp_extract("_squeezed", p, 0))) for a, p in rules()), none(F.regexp_extract(folded(F.col("_read")), filler_pattern(), 0)), none(F.regexp_extract("_read", known_latin_pattern(), 0)))
     row, alone = made_up_latin_patterns()
     made_up = F.coalesce(none(F.regexp_extract("_read", row, 0)), F.when(F.length("_squeezed") < SHORT, none(F.regexp_extract("_read", alone, 0))))
     message = F.coalesce(F.when(F.col("_squeezed").rlike(anchor_pattern()), said), made_up)
-    return df.select(*kept, placeholder.alias("placeholder"), message.alias("message"))
+    df = once(df, _found=F.struct(placeholder.alias("placeholder"), message.alias("message")))
+    return df.select(*kept, "_found.placeholder", "_found.message")
