@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from enum import Flag
 from functools import cmp_to_key
-from typing import Any
+from typing import Any, NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,44 +12,29 @@ from pyspark.sql import functions as F
 from tideline.store.schema import HIGHEST, LOWEST, Edge, Schema
 
 
-class Closed(Flag):
-    """Which ends of an interval belong to it."""
+class Closed(NamedTuple):
+    """Which ends of an interval belong to it; written as a word or its first letter."""
 
-    NONE = 0
-    LEFT = 1
-    RIGHT = 2
-    BOTH = 3
+    left: bool
+    right: bool
 
     @classmethod
     def cast(cls, x: Any) -> Closed:
         if isinstance(x, Closed):
             return x
-        for member in (cls.NONE, cls.LEFT, cls.RIGHT, cls.BOTH):
-            if str(x).lower() in (member.name.lower(), member.short):
-                return member
-        raise ValueError(f"closed must be one of left, right, both, none, not {x!r}")
+        found = [ends for word, ends in WORDS.items() if str(x).lower() in (word, word[0])]
+        if not found:
+            raise ValueError(f"closed must be one of {', '.join(WORDS)}, not {x!r}")
+        return found[0]
 
     @property
-    def short(self) -> str:
-        return self.name[0].lower()
+    def word(self) -> str:
+        return next(word for word, ends in WORDS.items() if ends == self)
 
-    @property
-    def left(self) -> bool:
-        return bool(self & Closed.LEFT)
-
-    @property
-    def right(self) -> bool:
-        return bool(self & Closed.RIGHT)
-
-    @classmethod
-    def of(cls, left: bool, right: bool) -> Closed:
-        return (cls.LEFT if left else cls.NONE) | (cls.RIGHT if right else cls.NONE)
-
-    def set_left(self, on: bool) -> Closed:
-        return Closed.of(on, self.right)
 
-    def set_right(self, on: bool) -> Closed:
-        return Closed.of(self.left, on)
+BOTH = Closed(True, True)
+#: Words for ends.
+WORDS = {"left": Closed(True, False), "right": Closed(False, True), "both": BOTH, "none": Closed(False, False)}
 
 
 @dataclass(frozen=True)
@@ -59,7 +43,7 @@ class Interval:
 
     start: tuple
     stop: tuple
-    closed: Closed = Closed.BOTH
+    closed: Closed = BOTH
 
     @classmethod
     def of(cls, schema: Schema, start: Any = None, stop: Any = None, closed: Any = "b") -> Interval:
@@ -72,14 +56,14 @@ class Interval:
 
     @property
     def empty(self) -> bool:
-        return below(self.stop, self.start) or (self.start == self.stop and self.closed != Closed.BOTH)
+        return below(self.stop, self.start) or (self.start == self.stop and self.closed != BOTH)
 
     def minus(self, other: Interval) -> list[Interval]:
         """What is left of this interval without the other: nothing, one or two pieces."""
         if self.intersect(other) is None:
             return [self]
-        left = Interval(self.start, other.start, Closed.of(self.closed.left, not other.closed.left))
-        right = Interval(other.stop, self.stop, Closed.of(not other.closed.right, self.closed.right))
+        left = Interval(self.start, other.start, Closed(self.closed.left, not other.closed.left))
+        right = Interval(other.stop, self.stop, Closed(not other.closed.right, self.closed.right))
         pieces = []
         if starts_before(self, other):
             pieces.append(left)
@@ -91,7 +75,7 @@ class Interval:
         """The common part; where ends are equal, it is closed only if both are."""
         first = other if starts_before(self, other) else self
         last = other if ends_after(self, other) else self
-        both = Interval(first.start, last.stop, Closed.of(first.closed.left, last.closed.right))
+        both = Interval(first.start, last.stop, Closed(first.closed.left, last.closed.right))
         return None if both.empty else both
 
     def covers(self, other: Interval) -> bool:
@@ -99,7 +83,7 @@ class Interval:
 
     def to_json(self, schema: Schema) -> dict:
         c = schema.idx_columns
-        return {"start": [x.to_json(v) for x, v in zip(c, self.start)], "stop": [x.to_json(v) for x, v in zip(c, self.stop)], "closed": self.closed.short}
+        return {"start": [x.to_json(v) for x, v in zip(c, self.start)], "stop": [x.to_json(v) for x, v in zip(c, self.stop)], "closed": self.closed.word[0]}
 
     @classmethod
     def from_json(cls, schema: Schema, d: dict) -> Interval:

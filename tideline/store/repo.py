@@ -1,6 +1,6 @@
 """Repositories, collections and series: versioned range overwrite on immutable Parquet tables.
 
-Data lies in ``data/<digest>``, one folder of Parquet files per write, named by a checksum of its rows, so that the same rows are stored once. A
+Data lies in ``data/<digest>``, one folder of Parquet files per write, whether of one series or of many, named by a checksum of its rows, so that the same rows are stored once. A
 collection's changelog says which intervals of which tables are visible. Readers prune tables on the driver, then read all that are left in
 one scan; windows and bounds become predicates on the index columns, which the scan pushes down.
 """
@@ -11,26 +11,27 @@ import datetime as dt
 import hashlib
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import replace
 from functools import reduce
 from typing import Any
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideline.operators.frame import Frame, kv_upsert, paged, tail, update_columns
-from tideline.store.bounds import Closed, Interval, ends_after
+from tideline.store.bounds import Closed, Interval, by_start, ends_after
 from tideline.store.changelog import ROOT, Changelog, Revision, hextime
 from tideline.store.files import Files
 from tideline.store.manifest import Manifest, Segment
 from tideline.store.schema import HIGHEST, LOWEST, Schema, SchemaColumn
 
 PAGE = 500_000
+#: Column that tells the series of a table with several apart.
+PART = "_label"
 #: Segments, each two short texts, up to which their list is broadcast.
 BROADCAST_ROWS = 100_000
 #: Seconds that unreferenced data and old revisions are kept.
@@ -108,12 +109,19 @@ class Series:
         return Segment(self.label, interval, stored.digest, stored.length, whole)
 
     def _upsert(self, new: DataFrame) -> list[Revision]:
-        stats = new.agg(F.min(F.struct(*self.schema.idx)).alias("a"), F.max(F.struct(*self.schema.idx)).alias("b")).first()
-        if stats.a is None:
-            return []
-        old = self.collection.scan(self.collection.manifest().visible(self.label, Interval(tuple(stats.a), tuple(stats.b))))
-        stored = self.repo.store(self.schema, kv_upsert(old, new, self.schema.idx))
-        return self.collection.put([Segment(self.label, Interval(tuple(stats.a), tuple(stats.b)), stored.digest, stored.length)])
+        def written(held: Manifest) -> Segment | None:
+            span = self._span(new)
+            if span is None:
+                return None
+            stored = self.repo.store(self.schema, kv_upsert(self.collection.scan(held.visible(self.label, span)), new, self.schema.idx))
+            return Segment(self.label, span, stored.digest, stored.length)
+
+        return self.collection.put([written])
+
+    def _span(self, df: DataFrame) -> Interval | None:
+        """From the first to the last index of some rows."""
+        edges = df.agg(F.min(F.struct(*self.schema.idx)).alias("a"), F.max(F.struct(*self.schema.idx)).alias("b")).first()
+        return None if edges.a is None else Interval(tuple(edges.a), tuple(edges.b))
 
     def delete(self, *keys: Any, start: Any = None, stop: Any = None, closed: Any = "b", root: bool = False) -> list[Revision]:
         """Removes a range, or rows by key: delete(start=a, stop=b), delete(key, ...). A key is an index value or tuple of them."""
@@ -128,13 +136,15 @@ class Series:
         missing = set(self.schema.idx) - set(df.columns)
         if missing:
             raise ValueError(f"index columns are missing: {sorted(missing)}")
-        stats = df.agg(F.min(F.struct(*self.schema.idx)).alias("a"), F.max(F.struct(*self.schema.idx)).alias("b")).first()
-        if stats.a is None:
-            return []
-        span = Interval(tuple(stats.a), tuple(stats.b))
-        old = self.collection.scan(self.collection.manifest().visible(self.label, span))
-        stored = self.repo.store(self.schema, update_columns(old, df, self.schema))
-        return self.collection.put([Segment(self.label, span, stored.digest, stored.length)])
+
+        def written(held: Manifest) -> Segment | None:
+            span = self._span(df)
+            if span is None:
+                return None
+            stored = self.repo.store(self.schema, update_columns(self.collection.scan(held.visible(self.label, span)), df, self.schema))
+            return Segment(self.label, span, stored.digest, stored.length)
+
+        return self.collection.put([written])
 
 
 class Collection:
@@ -143,7 +153,7 @@ class Collection:
     def __init__(self, repo: Repo, label: str, schema: Schema, path: str):
         self.repo, self.label, self.schema, self.path = repo, label, schema, path
         self.changelog = Changelog(repo.files, f"collections/{path}/_log")
-        self._batch: list[Segment | Future] | None = None
+        self._batch: list[Segment | Future | Callable[[Manifest], Segment | None]] | None = None
         self._pool: ThreadPoolExecutor | None = None
 
     def series(self, label: str) -> Series:
@@ -183,27 +193,32 @@ class Collection:
         parts = []
         for (columns, fill), some in groups.items():
             stored = dict(columns) if columns is not None else {n: n for n in self.schema}
+            shared = any(s.part is not None for s in some)
             fields = [T.StructField(stored[n], c.spark) for n, c in self.schema.columns.items() if n in stored]
-            paths = [self.repo.files.uri(self.repo.data_path(d)) for d in dict.fromkeys(s.digest for s in some)]
-            df = spark.read.schema(T.StructType(fields)).parquet(*paths)
+            fields += [T.StructField(PART, T.StringType())] if shared else []
+            df = spark.read.schema(T.StructType(fields)).parquet(*self.repo.data_uris(dict.fromkeys(s.digest for s in some)))
             values = {n: F.col(f"`{stored[n]}`").alias(n) for n in stored} | {n: self.schema[n].literal(self.schema[n].from_json(json.loads(v))).alias(n) for n, v in fill}
-            need_digest = label or any(not s.whole for s in some)
+            of_part = [F.coalesce(F.col(PART), F.lit("")).alias("_part")] if shared else [F.lit("").alias("_part")]
+            if shared and not label:
+                wanted = F.col(PART).isin(sorted({s.part for s in some if s.part is not None}))
+                df = df.where(wanted if all(s.part is not None for s in some) else wanted | F.col(PART).isNull())
+            need_digest = label or shared or any(not s.whole for s in some)
             if need_digest:
-                df = df.select("*", F.regexp_extract(F.col("_metadata.file_path"), r"/data/([0-9a-f]{40})", 1).alias("_digest"))
-            df = df.select(*(values[n] for n in self.schema), *(["_digest"] if need_digest else []))
+                df = df.select("*", *of_part, F.regexp_extract(F.col("_metadata.file_path"), r"/data/([0-9a-f]{40})", 1).alias("_digest"))
+            df = df.select(*(values[n] for n in self.schema), *(["_digest", "_part"] if need_digest else []))
             if not label:
-                df = df.where(self._windows(some)) if any(not s.whole for s in some) else df
+                df = df.where(self._windows(some)) if need_digest else df
             else:
                 # a table that several labels show is read once and given out to each
-                rows = sorted({(s.digest, s.label) for s in some})
-                of = spark.createDataFrame(rows, "_digest string, _l string")
-                df = df.join(F.broadcast(of) if len(rows) <= BROADCAST_ROWS else of, "_digest")
+                rows = sorted({(s.digest, s.part or "", s.label) for s in some})
+                of = spark.createDataFrame(rows, "_digest string, _part string, _l string")
+                df = df.join(F.broadcast(of) if len(rows) <= BROADCAST_ROWS else of, ["_digest", "_part"])
                 if len(some) > len(rows) or not all(s.whole for s in some):
                     cut = [s for s in some if not s.whole]
-                    free = [F.struct(F.lit(s.digest), F.lit(s.label)) for s in some if s.whole]
-                    pair = F.struct(F.col("_digest"), F.col("_l"))
-                    shown = [(F.col("_digest") == s.digest) & (F.col("_l") == s.label) & self._condition(s) for s in cut]
-                    df = df.where(reduce(lambda a, b: a | b, [*([pair.isin(free)] if free else []), *shown]))
+                    free = [F.struct(F.lit(s.digest), F.lit(s.part or ""), F.lit(s.label)) for s in some if s.whole]
+                    key = F.struct(F.col("_digest"), F.col("_part"), F.col("_l"))
+                    shown = [(F.col("_digest") == s.digest) & (F.col("_part") == (s.part or "")) & (F.col("_l") == s.label) & self._condition(s) for s in cut]
+                    df = df.where(reduce(lambda a, b: a | b, [*([key.isin(free)] if free else []), *shown]))
                 df = df.withColumnRenamed("_l", name)
             parts.append(df.select(*([F.col(name).alias("label")] if label and "label" not in self.schema.columns else [name] if label else []), *self.schema))
         if not parts:
@@ -217,26 +232,39 @@ class Collection:
 
     def _windows(self, segments: list[Segment]) -> Column:
         """Which rows of the tables are shown. The hull of all windows stands first, as a plain range that the scan can push down."""
-        by_digest: dict[str, list[Segment]] = {}
+        by_table: dict[tuple[str, str], list[Segment]] = {}
         for s in segments:
-            by_digest.setdefault(s.digest, []).append(s)
-        whole = [d for d, some in by_digest.items() if any(s.whole for s in some)]
-        cut = {d: some for d, some in by_digest.items() if d not in whole}
-        each = [(F.col("_digest") == d) & reduce(lambda a, b: a | b, (self._condition(s) for s in some)) for d, some in cut.items()]
-        keep = reduce(lambda a, b: a | b, ([F.col("_digest").isin(whole)] if whole else []) + each)
-        ordered = Manifest(self.schema, tuple(segments)).sorted().segments
-        last = reduce(lambda a, b: b if ends_after(b, a) else a, (s.interval for s in segments))
-        hull = Interval(ordered[0].interval.start, last.stop, Closed.of(ordered[0].interval.closed.left, last.closed.right)).predicate(self.schema)
+            by_table.setdefault((s.digest, s.part or ""), []).append(s)
+        key = F.struct("_digest", "_part")
+        whole = [k for k, some in by_table.items() if any(s.whole for s in some)]
+        each = [(F.col("_digest") == d) & (F.col("_part") == p) & reduce(lambda a, b: a | b, (self._condition(s) for s in some)) for (d, p), some in by_table.items() if (d, p) not in whole]
+        keep = reduce(lambda a, b: a | b, ([key.isin([F.struct(F.lit(d), F.lit(p)) for d, p in whole])] if whole else []) + each)
+        ordered = sorted((s.interval for s in segments), key=by_start)
+        last = reduce(lambda a, b: b if ends_after(b, a) else a, ordered)
+        hull = Interval(ordered[0].start, last.stop, Closed(ordered[0].closed.left, last.closed.right)).predicate(self.schema)
         return keep if hull is None else hull & keep
 
     # --- writing
 
-    def put(self, segments: list[Segment], root: bool = False) -> list[Revision]:
+    def put(self, writes: list, root: bool = False, sink: tuple[str, int] | None = None) -> list[Revision]:
+        """Applies writes in their order: segments, or functions of the manifest as it is after those before. ``sink``: name and batch of a stream, remembered in the same revision."""
         if self._batch is not None and not root:
-            self._batch += segments
+            self._batch += writes
             return []
-        base = Manifest(self.schema) if root else self.manifest()
-        return self.changelog.commit(reduce(Manifest.apply, segments, base).dumps(), [ROOT] if root else None)
+        held, applied = Manifest(self.schema) if root else self.manifest(), 0
+        ready: list[Segment] = []
+        for w in writes:
+            if callable(w):  # it has to see what came before
+                held, ready = held.apply(*ready), []
+                w = w(held)
+            if w is not None:
+                ready.append(w)
+                applied += 1
+        if sink:
+            held = replace(held, sinks=tuple(sorted({**dict(held.sinks), sink[0]: sink[1]}.items())))
+        elif not applied:
+            return []
+        return self.changelog.commit(held.apply(*ready).dumps(), [ROOT] if root else None)
 
     @contextmanager
     def multi(self, root: bool = False, parallel: int = 8):
@@ -245,39 +273,45 @@ class Collection:
         try:
             yield self
             batch, self._batch = self._batch, None
-            segments = [s.result() if isinstance(s, Future) else s for s in batch]
-            segments = [s for s in segments if s]
-            if segments:
-                self.put(segments, root)
+            self.put([s.result() if isinstance(s, Future) else s for s in batch], root)
         finally:
             self._batch, pool, self._pool = None, self._pool, None
             if pool:
                 pool.shutdown()
 
     def write(self, df: DataFrame, label_column: str = "label") -> list[Revision]:
-        """Writes many series at once from one DataFrame with a column of labels: one pass over the rows, one revision.
-
-        Rows are stored together, sorted by label and index; each label shows its part of the table.
-        """
-        labelled = Schema(**{"_label": SchemaColumn("_label", "str", True), **self.schema.columns})
+        """Writes many series at once from one DataFrame with a column of labels: one table, one revision; each label shows its part of the table."""
+        return self.put([Segment(label, Interval(first, last), digest, n, part=label) for label, first, last, digest, n in self.repo.store_labelled(self._labelled_schema, self._labelled(df, label_column))])
+
+    def upsert(self, df: DataFrame, label_column: str = "label", sink: tuple[str, int] | None = None) -> list[Revision]:
+        """Like write(), but rows that lie between the new ones stay: only those with the index of a new row are replaced. Of several new rows for one index the first by the other columns counts. Not within multi()."""
+        new = self._labelled(df, label_column)
+        spans = new.groupBy(PART).agg(F.min(F.struct(*self.schema.idx)).alias("a"), F.max(F.struct(*self.schema.idx)).alias("b")).collect()  # a row per label of the batch, as the manifest has
+        held = self.manifest()
+        old = self.scan([s for r in spans for s in held.visible(r[PART], Interval(tuple(r.a), tuple(r.b)))], label=True)
+        name = "label" if "label" not in self.schema.columns else "_label"
+        old = old.select(F.col(name).alias(PART), *self.schema)
+        stored = self.repo.store_labelled(self._labelled_schema, kv_upsert(old, new, [PART, *self.schema.idx]))
+        return self.put([Segment(label, Interval(first, last), digest, n, part=label) for label, first, last, digest, n in stored], sink=sink)
+
+    @property
+    def _labelled_schema(self) -> Schema:
+        return Schema(**{PART: SchemaColumn(PART, "str", True), **self.schema.columns})
+
+    def _labelled(self, df: DataFrame, label_column: str) -> DataFrame:
         have = {f.name: f.dataType for f in df.schema}
-        typed = df.select(F.col(label_column).cast("string").alias("_label"), *(c.cast(F.col(f"`{n}`"), have[n]).alias(n) for n, c in self.schema.columns.items())).where("_label is not null")
-        typed = typed.select("*", F.when(holes(self.schema), F.raise_error(F.lit("a row has a null in the index"))).alias("_check")).where("_check is null").drop("_check")
-        stored = self.repo.store_labelled(labelled, typed)
-        return self.put([Segment(label, Interval(first, last), digest, n) for label, first, last, digest, n in stored])
+        typed = df.select(F.col(label_column).cast("string").alias(PART), *(c.cast(F.col(f"`{n}`"), have[n]).alias(n) for n, c in self.schema.columns.items())).where(F.col(PART).isNotNull())
+        return typed.select("*", F.when(holes(self.schema), F.raise_error(F.lit("a row has a null in the index"))).alias("_check")).where("_check is null").drop("_check")
 
     def delete(self, *labels: str) -> list[Revision]:
-        m = self.manifest()
-        return self.changelog.commit(Manifest(self.schema, tuple(s for s in m.segments if s.label not in labels)).dumps())
+        return self.changelog.commit(self.manifest().without(*labels).dumps())
 
     def rename(self, old: str, new: str) -> list[Revision]:
         """Gives a series another label; where that has rows in the same ranges, the renamed ones cover them."""
         m = self.manifest()
         if old not in m.labels:
             raise ValueError(f"no series {old!r}")
-        moved = m.of(old)
-        rest = Manifest(self.schema, tuple(s for s in m.segments if s.label != old))
-        return self.changelog.commit(reduce(Manifest.apply, (replace(s, label=new) for s in moved), rest).dumps())
+        return self.changelog.commit(m.without(old).apply(*(replace(s, label=new) for s in m.of(old))).dumps())
 
     def clone(self, target: Collection, rename: dict[str, str] | None = None, defaults: dict[str, Any] | None = None) -> list[Revision]:
         """Shows all series in an empty collection of another schema, with columns renamed, added (by default or zero) or dropped, on the same stored tables and in one revision."""
@@ -300,7 +334,7 @@ class Collection:
             position = {n: i for i, n in enumerate(self.schema.idx)}
             added = dict(zip([n for n in target.schema.idx if n in fill], extra))
             bound = lambda t: tuple(added[n] if n in added else t[position[have[n]]] for n in target.schema.idx)  # noqa: B023, E731
-            segments.append(Segment(s.label, Interval(bound(s.interval.start), bound(s.interval.stop), s.interval.closed), s.digest, s.length, s.whole, tuple(sorted(columns.items())), tuple(sorted(filled.items()))))
+            segments.append(Segment(s.label, Interval(bound(s.interval.start), bound(s.interval.stop), s.interval.closed), s.digest, s.length, s.whole, s.part, tuple(sorted(columns.items())), tuple(sorted(filled.items()))))
         return target.changelog.commit(Manifest(target.schema, tuple(segments)).dumps(), [ROOT])
 
     # --- branches and upkeep
@@ -311,35 +345,13 @@ class Collection:
         heads = self.changelog.leafs()
         if len({h.child for h in heads}) < 2:
             return []
-        common = self._common(heads)
+        common = self.changelog.common(heads)
         base = self.manifest(revision=heads[0])
         known = set(self.manifest(revision=common).segments) if common else set()
-        merged = base
-        for head in heads[1:]:
-            for s in self.manifest(revision=head).sorted().segments:
-                if s not in known and s not in base.segments:
-                    merged = merged.apply(s)
+        known |= set(base.segments)
+        merged = base.apply(*(s for head in heads[1:] for s in self.manifest(revision=head).sorted().segments if s not in known))
         return self.changelog.commit(merged.dumps(), list(dict.fromkeys(h.child for h in heads)))
 
-    def _common(self, heads: list[Revision]) -> Revision | None:
-        """The youngest revision that all heads descend from."""
-        by_child: dict[str, list[Revision]] = {}
-        for r in self.changelog.log():
-            by_child.setdefault(r.child, []).append(r)
-
-        def ancestors(child: str) -> set[str]:
-            out, todo = set(), [child]
-            while todo:
-                c = todo.pop()
-                for r in by_child.get(c, []):
-                    if r.parent not in out:
-                        out.add(r.parent)
-                        todo.append(r.parent)
-            return out | {child}
-
-        shared = set.intersection(*(ancestors(h.child) for h in heads)) & set(by_child)
-        return by_child[max(shared)][0] if shared else None
-
     def digests(self, revisions: list[Revision] | None = None) -> set[str]:
         """Stored tables that revisions (by default all) refer to."""
         return {s.digest for r in (self.changelog.log() if revisions is None else revisions) for s in self.manifest(revision=r).segments}
@@ -360,21 +372,26 @@ class Collection:
 
     def defrag(self, max_chunk: int = 4) -> list[Revision]:
         """Series of more than ``max_chunk`` segments are rewritten from the first short segment on, in files of at most PAGE rows; one revision for all."""
-        m, new = self.manifest(), []
+        m, todo = self.manifest(), []
         for label in m.labels:
             segments = m.of(label)
             if len(segments) <= max_chunk:
                 continue
             short = min(PAGE, sum(s.length for s in segments) / (max_chunk + 1))
             at = next((i for i, s in enumerate(segments) if s.length < short or not s.whole), None)
-            if at is None or len(segments) - at < 2:
-                continue
-            stored = self.repo.store(self.schema, self.scan(segments[at:]), rows_per_file=PAGE)
-            first, last = segments[at].interval, segments[-1].interval
-            new.append(Segment(label, Interval(first.start, last.stop, Closed.of(first.closed.left, last.closed.right)), stored.digest, stored.length))
-        if not new:
+            if at is not None and len(segments) - at >= 2:
+                todo.append((label, segments[at:]))
+
+        def rewritten(label: str, some: list[Segment]) -> Segment:
+            stored = self.repo.store(self.schema, self.scan(some), rows_per_file=PAGE)
+            first, last = some[0].interval, some[-1].interval
+            return Segment(label, Interval(first.start, last.stop, Closed(first.closed.left, last.closed.right)), stored.digest, stored.length)
+
+        if not todo:
             return []
-        return self.changelog.commit(reduce(Manifest.apply, new, m).dumps())
+        with ThreadPoolExecutor(8) as pool:
+            new = list(pool.map(lambda x: rewritten(*x), todo))
+        return self.changelog.commit(m.apply(*new).dumps())
 
     def trim(self, before: dt.datetime | None = None) -> int:
         """Removes revisions older than a time (by default 20 minutes ago), never the newest; how many. Data goes with gc()."""
@@ -470,19 +487,31 @@ class Repo:
     def archive(self, label: str) -> None:
         """Moves a collection to the namespace ``archive``."""
         catalog = self._catalog()
+        if label not in catalog.get("collection", {}):
+            raise ValueError(f"no collection {label!r}")
+        if label in catalog.get("archive", {}):
+            raise ValueError(f"an archived collection {label!r} exists")
         catalog.setdefault("archive", {})[label] = catalog["collection"].pop(label)
         self._save(catalog)
 
     def merge(self) -> list[Revision]:
-        """Joins the branches of the registry; a collection that several know keeps its newest entry."""
+        """Joins the branches of the registry: what any branch has added, changed or removed since they parted; the newest wins."""
         self.refresh()
         heads = self.registry.leafs()
         if len({h.child for h in heads}) < 2:
             return []
-        merged: dict = {}
+        read = lambda r: {(namespace, label): meta for namespace, known in json.loads(self.registry.read(r)).items() for label, meta in known.items()}
+        common = self.registry.common(heads)
+        base = read(common) if common else {}
+        flat = dict(base)
         for h in heads:
-            for namespace, known in json.loads(self.registry.read(h)).items():
-                merged.setdefault(namespace, {}).update(known)
+            theirs = read(h)
+            flat.update({k: v for k, v in theirs.items() if base.get(k) != v})
+            for k in base.keys() - theirs.keys():
+                flat.pop(k, None)  # what a branch has removed stays removed
+        merged: dict = {}
+        for (namespace, label), meta in flat.items():
+            merged.setdefault(namespace, {})[label] = meta
         return self.registry.commit(json.dumps(merged), list(dict.fromkeys(h.child for h in heads)))
 
     def pull(self, remote: Repo, *labels: str, shallow: bool = False) -> None:
@@ -500,6 +529,12 @@ class Repo:
 
     # --- stored tables
 
+    def data_uris(self, digests) -> list[str]:
+        """Folders of tables; of many, the store is asked once for all."""
+        digests = list(digests)
+        there = set(self.files.ls("data")) if len(digests) > 8 else set()
+        return [self.files.uri(f"data/{d}" if d in there else self.data_path(d)) for d in digests]
+
     def data_path(self, digest: str) -> str:
         """Folder of a table, also if a collection of garbage has set it aside."""
         path = f"data/{digest}"
@@ -536,25 +571,23 @@ class Repo:
         return Stored(digest, m["n"], tuple(m["a"]), tuple(m["b"]))
 
     def store_labelled(self, schema: Schema, df: DataFrame) -> list[tuple[str, tuple, tuple, str, int]]:
-        """Writes many series in one job, a folder for each label, and returns (label, first, last, digest, rows) by label."""
-        idx = [n for n in schema.idx if n != "_label"]
-        columns = [n for n in schema if n != "_label"]
+        """Writes many series into one table, sorted by label and index, and returns (label, first, last, digest, rows) by label. Files have the size that adaptive execution aims at, however many labels there are."""
+        idx = [n for n in schema.idx if n != PART]
         aside = f"_writing/{uuid.uuid4().hex}"
-        df.hint("rebalance", "_label").sortWithinPartitions("_label", *idx).write.option("compression", "zstd").partitionBy("_label").parquet(self.files.uri(aside))
-        back = self.spark.read.parquet(self.files.uri(aside)).withColumn("_label", F.col("_label").cast("string"))
-        h = F.xxhash64(*(F.col(f"`{n}`") for n in columns))
+        df.hint("rebalance", PART).sortWithinPartitions(PART, *idx).write.option("compression", "zstd").parquet(self.files.uri(aside))
+        back = self.spark.read.schema(schema.struct).parquet(self.files.uri(aside))
         key = F.struct(*(F.col(f"`{n}`") for n in idx))
-        folder = F.regexp_extract(F.col("_metadata.file_path"), r"/(_label=[^/]*)/", 1)
-        stats = back.select("*", folder.alias("_f")).groupBy("_label", "_f").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("a"), F.max(key).alias("b"), *checksums(h))
-        out = []
-        for r in stats.toLocalIterator():  # one row per series: what the manifest holds anyway
-            digest = hashlib.sha1(f"{schema.dumps()}|{r.n}|{r.s}|{r.u}|{r.x}".encode()).hexdigest()
-            if not self.files.exists(f"data/{digest}"):
-                source = f"{aside}/{r._f}"
-                self.files.rename(source if self.files.exists(source) else f"{aside}/{unquote(r._f)}", f"data/{digest}")
-            out.append((r._label, tuple(r.a), tuple(r.b), digest, r.n))
-        self.files.remove(aside)
-        return out
+        stats = back.groupBy(PART).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("a"), F.max(key).alias("b"), *checksums(F.xxhash64(*(F.col(f"`{n}`") for n in schema)))).collect()  # one row per series: what the manifest holds anyway
+        if not stats:
+            self.files.remove(aside)
+            return []
+        xor = reduce(lambda a, b: a ^ b, (r.x for r in stats))
+        digest = hashlib.sha1(f"{schema.dumps()}|{sum(r.n for r in stats)}|{sum(r.s for r in stats)}|{sum(r.u for r in stats)}|{xor}".encode()).hexdigest()
+        if self.files.exists(f"data/{digest}"):
+            self.files.remove(aside)
+        else:
+            self.files.rename(aside, f"data/{digest}")
+        return [(r[PART], tuple(r.a), tuple(r.b), digest, r.n) for r in stats]
 
     def gc(self, timeout: float = TIMEOUT) -> tuple[int, int]:
         """Sets tables aside that no revision of any collection refers to; removes those set aside longer than ``timeout`` seconds ago, or takes them back if they are wanted again. (removed, set aside)"""

@@ -9,19 +9,14 @@ from tideline.store.repo import Collection
 
 
 def write_stream(stream: DataFrame, collection: Collection, checkpoint: str, name: str, label_column: str = "label", **trigger) -> StreamingQuery:
-    """Writes a stream with a column of labels. A batch that is repeated after a failure is known by its number and left out.
+    """Writes a stream with a column of labels. Rows of a batch replace those of the same label and index and leave all others, so that batches may interleave in time.
 
-    A batch replaces, for each label, what lies between its first and last index: late rows that come with a later batch
-    replace that batch's span only. Trigger options go to the writer (e.g. availableNow=True).
+    The number of the last batch is part of the revision that brings its rows: a batch that is repeated after a failure is left out, whenever that came. ``name`` stands for the stream as long as its checkpoint lives. Trigger options go to the writer (e.g. availableNow=True).
     """
 
     def put(batch: DataFrame, number: int) -> None:
-        marker = f"_sinks/{name}/{number}"
-        files = collection.repo.files
-        if files.exists(marker):
-            return
         collection.refresh()
-        collection.write(batch, label_column)
-        files.create(marker, "")
+        if dict(collection.manifest().sinks).get(name, -1) < number:
+            collection.upsert(batch, label_column, (name, number))
 
     return stream.writeStream.queryName(name).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
