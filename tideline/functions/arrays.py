@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import statistics
 from collections.abc import Callable
 from typing import Any
 
@@ -220,20 +221,26 @@ def _compiled(*names: str):
     return put
 
 
-def _window(self: Any):
-    """Running over the frame's index. Without a grouping column the order is global."""
-    return W.orderBy(*(F.col(f"`{c}`") for c in self.order))
+def _over(self: Any, kind: str, x: Column) -> Column:
+    """A value over the order of the frame's index, which the reducing frame works out range by range; elsewhere (in masks) by one window."""
+    if self.running is None:
+        w = W.orderBy(*(F.col(f"`{c}`") for c in self.order))
+        return F.sum(x).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)) if kind == "cumsum" else F.lag(x).over(w)
+    self.running.append((kind, x))
+    name = f"_r{len(self.running) - 1}"
+    self.df = self.df.withColumn(name, F.lit(None).cast(self.type(x)))  # so that types can be found
+    return F.col(name)
 
 
 @_compiled("cumsum")
 def cumsum(self: Any, x: Column) -> Column:
-    return F.sum(x).over(_window(self).rowsBetween(W.unboundedPreceding, W.currentRow))
+    return _over(self, "cumsum", x)
 
 
 @_compiled("diff")
 def diff(self: Any, x: Column) -> Column:
     """Difference to the row before; null at the first row, which keeps the length."""
-    return x - F.lag(x).over(_window(self))
+    return x - _over(self, "lag", x)
 
 
 @_add("std")
@@ -246,9 +253,9 @@ def var(x: Any) -> Any:
     return F.var_pop(x)
 
 
-@_add("median")
-def median(x: Any) -> Any:
-    return F.percentile(_d(x), F.lit(0.5))
+@_compiled("median")
+def median(self: Any, x: Any) -> Any:
+    return self.quantile(x, 0.5) if _is(x) else statistics.median(x)
 
 
 @_add("any")

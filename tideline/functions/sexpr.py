@@ -100,7 +100,9 @@ class Compiler:
 
     def __init__(self, df: DataFrame | None = None, env: dict[str, Any] | None = None, order: list[str] | None = None, grouped: bool = False):
         self.df, self.order, self.grouped = df, order or [], grouped
+        #: What a caller that reduces frames works out beforehand: (value, quantile, interpolation) and (kind, value) by position.
         self.ranked: list[tuple[Column, float, str]] | None = None
+        self.running: list[tuple[str, Column]] | None = None
         self.env: dict[str, Any] = {**FUNCTIONS, **(env or {})}
         if df is not None:
             self.env.setdefault("self", Frames(df))
@@ -172,10 +174,10 @@ class Compiler:
         return F.lit(x)
 
     def quantile(self, c: Column, q: float = 0.5, interpolation: str = "linear") -> Column:
-        """Quantile of the values that are no null; between two neighbours by the named rule. Rules other than linear are left to the caller, which finds values by rank."""
+        """Quantile of the values that are no null; between two neighbours by the named rule. Values are found by rank, which is left to the caller; without one a linear quantile holds a group's different values in one task."""
         if interpolation not in INTERPOLATIONS:
             raise ValueError(f"interpolation must be one of {', '.join(INTERPOLATIONS)}")
-        if interpolation == "linear":
+        if self.ranked is None and interpolation == "linear":
             return F.percentile(c.cast("double"), F.lit(float(q)))
         if self.ranked is None:
             raise ValueError(f"a quantile with interpolation {interpolation} needs a frame to reduce")

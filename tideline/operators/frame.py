@@ -21,6 +21,9 @@ from tideline.plans.shared import written
 from tideline.store.bounds import Interval
 from tideline.store.schema import Schema, records
 
+#: Entries of a list typed or computed on the driver up to which it is broadcast.
+BROADCAST_ROWS = 100_000
+
 # --- ranges and positions
 
 
@@ -59,37 +62,63 @@ def tail(df: DataFrame, by: list[str], length: int, limit: int | None = None, of
     return out if limit is None else out.limit(limit)
 
 
-def paged(df: DataFrame, by: list[str], step: int) -> Iterator[DataFrame]:
-    """Pages of at most ``step`` rows. Each begins after the last index value of the one before and skips what of that value was given out; one small action a page."""
-    last, given = None, 0
-    while True:
-        rest = df if last is None else df.where(after(by, last))
-        page = ordered(rest, by).offset(given).limit(step)
-        stats = page.agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(*(F.col(f"`{c}`") for c in by))).alias("m")).first()
-        if not stats.n:
-            return
-        yield page
-        same = page.where(fold(lambda a, b: a & b, (F.col(f"`{c}`").eqNullSafe(literal(v)) for c, v in zip(by, stats.m)))).count()
-        given = same + (given if last is not None and tuple(last) == tuple(stats.m) else 0)
-        last = stats.m
+def in_ranges(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """The rows, written once in ranges of their order (see ordered()), with their range in ``_p``. Ranges are cut by all columns, so that rows with equal index values need not lie together."""
+    every = order_columns(df, by)
+    return written(df.repartitionByRange(*every).withColumn("_p", F.spark_partition_id()).sortWithinPartitions(*every), name)
 
 
-def literal(v: Any) -> Column:
-    return F.lit(v.isoformat(sep=" ")).cast("timestamp_ntz") if hasattr(v, "hour") else F.lit(v)
+def order_columns(df: DataFrame, by: list[str]) -> list[Column]:
+    rest = [f.name for f in df.schema if f.name not in by and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return [F.col(f"`{c}`") for c in [*by, *rest]]
 
 
-def after(by: list[str], values: Any) -> Column:
-    """Index at or after a value, lexicographically, with the first column's range on its own for the scan."""
-    expr = None
-    for c, v in reversed(list(zip(by, values))):
-        c, x = F.col(f"`{c}`"), literal(v)
-        expr = c >= x if expr is None else (c >= x) & ((c > x) | expr)
-    return expr
+def running(df: DataFrame, by: list[str], wanted: list[tuple[str, Column, str]]) -> DataFrame:
+    """Columns over the order of the rows: (kind, value, name) with the kinds cumsum, lag and count (of rows, from 1 on).
+
+    Each range of rows is summed by itself and told what lies before it; of the ranges there is one small row each. No task sees more than its range. Writes one table. A lag is null at the first row; nulls add nothing.
+    """
+    values = {f"_x{i}": x for i, (_, x, _) in enumerate(wanted)}
+    plain = df.columns
+    spread = in_ranges(df.withColumns(values), by, "running") if values else in_ranges(df, by, "running")
+    spread = spread.withColumn("_o", F.monotonically_increasing_id()) if not by else spread
+    order = order_columns(df, by)
+    inner, ranges = W.partitionBy("_p").orderBy(*order), W.partitionBy(F.lit(1)).orderBy("_p")  # one row per range
+    up_to = inner.rowsBetween(W.unboundedPreceding, W.currentRow)
+    place = F.struct(*order)
+    aggs = []
+    for i, (kind, _, _) in enumerate(wanted):
+        aggs.append({"cumsum": F.sum(f"_x{i}"), "count": F.count(F.lit(1)), "lag": F.max_by(F.struct(F.col(f"_x{i}").alias("v")), place)}[kind].alias(f"_a{i}"))
+    parts = spread.groupBy("_p").agg(*aggs)
+    before = ranges.rowsBetween(W.unboundedPreceding, -1)
+    told = parts.select("_p", *(F.lag(f"_a{i}").over(ranges).alias(f"_b{i}") if kind == "lag" else F.sum(f"_a{i}").over(before).alias(f"_b{i}") for i, (kind, _, _) in enumerate(wanted)))
+    out = spread.join(told, "_p")
+    first = F.row_number().over(inner) == 1
+    for i, (kind, _, name) in enumerate(wanted):
+        x, b = F.col(f"_x{i}"), F.col(f"_b{i}")
+        if kind == "lag":
+            out = out.withColumn(name, F.when(first, b["v"]).otherwise(F.lag(x).over(inner)))
+        else:
+            own = F.sum(x).over(up_to) if kind == "cumsum" else F.row_number().over(inner).cast("long")
+            out = out.withColumn(name, F.when(own.isNull(), b).otherwise(own + F.coalesce(b, F.lit(0))))
+    return out.select(*(F.col(f"`{c}`") for c in plain), *(n for _, _, n in wanted))
+
+
+def paged(df: DataFrame, by: list[str], step: int) -> Iterator[DataFrame]:
+    """Pages of at most ``step`` rows, none empty: the rows are put in order, numbered and written once; a page reads the files that hold it."""
+    columns = df.columns
+    numbered = running(df, by, [("count", F.lit(1), "_n")]).withColumn("_page", F.floor((F.col("_n") - 1) / step))
+    table = written(numbered.repartitionByRange("_n").sortWithinPartitions("_n"), "pages")
+    last = table.agg(F.max("_page")).first()[0]
+    for page in range(0 if last is None else last + 1):
+        yield table.where(F.col("_page") == page).orderBy("_n").select(*(F.col(f"`{c}`") for c in columns))
 
 
 def page_numbers(df: DataFrame, by: list[str], step: int, within: list[str] | None = None) -> DataFrame:
-    """A column ``page`` from 1 on, for writing many pages at once; ``within``: pages of each group for itself."""
-    rn = F.row_number().over(W.partitionBy(*(within or [F.lit(1)])).orderBy(*by))
+    """A column ``page`` from 1 on, for writing many pages at once; ``within``: pages of each group for itself. Without groups the rows are numbered range by range, see running()."""
+    if not within:
+        return running(df, by, [("count", F.lit(1), "_n")]).withColumn("page", F.ceil(F.col("_n") / step).cast("long")).drop("_n")
+    rn = F.row_number().over(W.partitionBy(*within).orderBy(*by))
     return df.withColumn("page", F.ceil(rn / step).cast("long"))
 
 
@@ -117,7 +146,7 @@ def reduce_frame(df: DataFrame, order: list[str], columns: list[str] | tuple[str
     aggregated = [is_aggregate(form) or any(w in arrays.AGGREGATES for w in names(form)) for _, form, _ in items]
     keyed = any(aggregated) and not all(aggregated)
     compiler = Compiler(df, env, order, grouped=keyed)
-    compiler.ranked = []
+    compiler.ranked, compiler.running = [], []
     made = []
     for (text, form, alias), agg in zip(items, aggregated):
         value = compiler.eval(form)
@@ -125,6 +154,8 @@ def reduce_frame(df: DataFrame, order: list[str], columns: list[str] | tuple[str
         if isinstance(value, Alias):
             name, value = alias or value.name, value.value
         made.append((name, compiler.column(value).alias(name), agg))
+    if compiler.running:
+        df = running(df, order, [(kind, x, f"_r{i}") for i, (kind, x) in enumerate(compiler.running)])
     if not any(aggregated):
         return df.select(*(c for _, c, _ in made))
     keys = [c for _, c, agg in made if not agg]
@@ -137,7 +168,7 @@ def reduce_frame(df: DataFrame, order: list[str], columns: list[str] | tuple[str
 
 
 def quantile_ranks(df: DataFrame, keys: list[Column], value: Column, q: float, how: str) -> DataFrame:
-    """_k0, _k1, ..., _v: the value at a quantile's rank in each group, by lower, higher, midpoint or nearest.
+    """_k0, _k1, ..., _v: the value at a quantile's rank in each group, by linear, lower, higher, midpoint or nearest.
 
     Values are counted first, then spread by range and numbered within each range; ranges know what lies before them from their counts. So no
     group lies in one task, however large. Nulls are skipped, a NaN is the largest value. Writes one table.
@@ -153,10 +184,12 @@ def quantile_ranks(df: DataFrame, keys: list[Column], value: Column, q: float, h
     joined = spread.join(right, fold(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"{c}_r")) for c in on)))
     upto = F.col("_before") + F.sum("_n").over(W.partitionBy(*on).orderBy("_x").rowsBetween(W.unboundedPreceding, W.currentRow))
     rank = F.lit(float(q)) * (F.col("_all") - 1)
-    low, high = {"lower": (F.floor, F.floor), "higher": (F.ceil, F.ceil), "nearest": (F.rint, F.rint), "midpoint": (F.floor, F.ceil)}[how]
+    low, high = {"lower": (F.floor, F.floor), "higher": (F.ceil, F.ceil), "nearest": (F.rint, F.rint), "midpoint": (F.floor, F.ceil), "linear": (F.floor, F.ceil)}[how]
     at = lambda r: F.max(F.when((r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_n")), F.col("_x")))
-    out = joined.withColumn("_upto", upto).groupBy(*k).agg(at(low(rank)).alias("_a"), at(high(rank)).alias("_b"))
-    return out.select(*k, F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise((F.col("_a") + F.col("_b")) / 2).alias("_v"))
+    out = joined.withColumn("_upto", upto).groupBy(*k).agg(at(low(rank)).alias("_a"), at(high(rank)).alias("_b"), F.max(rank).alias("_rank"))
+    up = F.col("_rank") - F.floor("_rank") if how == "linear" else F.lit(0.5)
+    between = (1 - up) * F.col("_a") + up * F.col("_b")
+    return out.select(*k, F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(between).alias("_v"))
 
 
 def with_quantile(df: DataFrame, keys: list[Column], value: Column, q: float, how: str, name: str) -> DataFrame:
@@ -176,14 +209,14 @@ def mask(df: DataFrame, expression: str, order: list[str] | None = None, env: di
 
 
 def take_rows(df: DataFrame, by: list[str], chosen: list) -> DataFrame:
-    """Rows by a list of truth values, or of positions (in that order, also repeated), in the order of the index. The list lies on the driver, so no more rows than it tells of are numbered."""
+    """Rows by a list of truth values, or of positions (in that order, also repeated), in the order of the index. The list lies on the driver, so no more rows than it tells of are numbered, and those range by range; it is broadcast up to BROADCAST_ROWS entries."""
     if len(chosen) and all(isinstance(x, bool) or type(x).__name__ == "bool_" for x in chosen):
         chosen = [i for i, x in enumerate(chosen) if x]
     chosen = [int(x) for x in chosen]
-    want = df.sparkSession.createDataFrame([(p, i) for i, p in enumerate(chosen)], "_p long, _i long")
-    numbered = ordered(df, by).limit(max(chosen, default=-1) + 1)
-    numbered = numbered.withColumn("_p", (F.row_number().over(W.orderBy(*(F.col(f"`{c}`") for c in [*by, *(c for c in df.columns if c not in by)]))) - 1).cast("long"))
-    return numbered.join(F.broadcast(want), "_p").orderBy("_i").drop("_p", "_i")
+    want = df.sparkSession.createDataFrame([(p, i) for i, p in enumerate(chosen)], "_p0 long, _i long")
+    head = ordered(df, by).limit(max(chosen, default=-1) + 1)
+    numbered = running(head, by, [("count", F.lit(1), "_n")]).withColumn("_p0", F.col("_n") - 1)
+    return numbered.join(F.broadcast(want) if len(chosen) <= BROADCAST_ROWS else want, "_p0").orderBy("_i").drop("_p0", "_i", "_n")
 
 
 # --- sets
@@ -245,9 +278,19 @@ def update_columns(old: DataFrame, new: DataFrame, schema: Schema) -> DataFrame:
     return both.select(*out)
 
 
+def moment(x: Any) -> Column:
+    return F.lit(str(x).replace("T", " ")).cast("timestamp_ntz")
+
+
+def window_start(time: Column, start: Any, days: int) -> Column:
+    """Where the span of so many days that a time lies in begins, spans being counted from start; so that times meet windows() by equality."""
+    apart = F.timestamp_diff("SECOND", moment(start), time)
+    return moment(start) + F.make_dt_interval(days=(F.floor(apart / (days * 86400)) * days).cast("int"))
+
+
 def drange(spark, start: Any, stop: Any, step: str, name: str = "timestamp") -> DataFrame:
     """Times from start on, a step such as ``1 hour`` apart, before stop."""
-    a, b = (F.lit(str(x).replace("T", " ")).cast("timestamp_ntz") for x in (start, stop))
+    a, b = moment(start), moment(stop)
     return spark.range(1).select(F.explode(F.sequence(a, b, F.expr(f"interval {step}"))).alias(name)).where(F.col(name) < b)
 
 
@@ -336,6 +379,12 @@ class Frame:
     def sorted(self, *columns: str) -> Frame:
         return self._with(ordered(self.df, [c for x in columns for c in x.split(",")] or self.schema.idx))
 
+    def argsort(self, *columns: str) -> list[int]:
+        """Positions of the rows (in the order of the index) in the order of some columns."""
+        keys = [c for x in columns for c in x.split(",")]
+        numbered = running(self.df, self.schema.idx, [("count", F.lit(1), "_n")])
+        return [r[0] - 1 for r in numbered.orderBy(*(F.col(f"`{c}`") for c in keys), "_n").select("_n").toLocalIterator()]
+
     def is_sorted(self) -> bool:
         return self.df is not None and is_sorted(self.df, self.schema.idx).first()[0]
 
@@ -390,6 +439,16 @@ class Frame:
     def keys(self) -> list[str]:
         return self.df.columns
 
+    def get(self, name: str, default: Any = None) -> Any:
+        """The values of a column, or the default if there is none."""
+        return self[name] if name in self.df.columns else default
+
+    def values(self) -> list[list]:
+        return [self[c] for c in self.df.columns]
+
+    def __repr__(self) -> str:
+        return f"<Frame {', '.join(f'{c}*' if c in self.schema.idx else c for c in self.df.columns)}>"
+
     def records(self, style: str | None = "default"):
         return records(ordered(self.df, self.schema.idx), style)
 

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Letters with marks and the letters under them.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Letters of every script that carry marks of their own, with the letter under them: taken from the decompositions of Unicode.
+ACCENTED = [(chr(i), unicodedata.normalize("NFD", chr(i))[0]) for i in range(0x80, 0x3000) if len(unicodedata.normalize("NFD", chr(i))) > 1 and unicodedata.combining(unicodedata.normalize("NFD", chr(i))[1])]
 
 
 def plain(text: Column) -> Column:
-    """Lower case without marks on the letters."""
-    return F.translate(F.lower(text), MARKED, PLAIN)
+    """Lower case without marks on the letters, whether they are part of a letter or follow it."""
+    low = {a: b for a, b in ACCENTED if a == a.lower()}
+    return F.translate(F.regexp_replace(F.lower(text), r"\p{Mn}+", ""), "".join(low), "".join(low.values()))
 
 
 def trigrams(text: Column) -> Column:

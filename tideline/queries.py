@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -127,6 +128,18 @@ def page_numbers(spark, d):
     return ops.page_numbers(events(spark, d).df, ["ts"], 100, ["event_type"]).select("event_id", "page")
 
 
+@query("select event_id, ceil(row_number() over (order by ts) / 300.0)::bigint as page from events")
+def page_numbers_all(spark, d):
+    return ops.page_numbers(events(spark, d).df, ["ts"], 300).select("event_id", "page")
+
+
+@query("select event_id, row_number() over (order by value, ts) - 1 as pos, row_number() over (order by ts) - 1 as at from events where event_type = 'error'")
+def argsort_values(spark, d):
+    e = events(spark, d).mask("(= self.event_type 'error')")
+    ids = e["event_id"]
+    return spark.createDataFrame([(ids[at], pos, at) for pos, at in enumerate(e.argsort("value"))], "event_id long, pos long, at long")
+
+
 @query("select event_id, ceil(row_number() over (order by ts) / (select ceil(count(*) / 4.0) from events))::int as page from events")
 def paginate_series(spark, d):
     """Four pages by continuation of the index."""
@@ -144,9 +157,11 @@ def sorted_custom(spark, d):
     return df.select("s_name", F.row_number().over(W.orderBy("s_nationkey", "s_acctbal", "s_suppkey")).cast("long").alias("rn"))
 
 
-@query("select true as is_sorted")
+@query("select 'by time' as what, true as is_sorted union all select 'backwards', false union all select 'by price', false")
 def is_sorted_check(spark, d):
-    return ops.is_sorted(orders(spark, d).sorted().df, ["o_orderdate", "o_orderkey"])
+    o, idx = orders(spark, d), ["o_orderdate", "o_orderkey"]
+    cases = {"by time": o.sorted().df, "backwards": o.df.orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")), "by price": o.sorted("o_totalprice").df}
+    return ops.concat(*(ops.is_sorted(df, idx).select(F.lit(what).alias("what"), "is_sorted") for what, df in cases.items()))
 
 
 @query("select n_nationkey, n_name, n_regionkey from nation union all select n_nationkey, n_name, n_regionkey from nation")
@@ -242,6 +257,59 @@ def expr_pretty_nb(spark, d):
     return orders(spark, d).reduce("o_orderkey", nb="(pretty_nb self.o_totalprice)").df
 
 
+NUMBERS = {
+    "absolute": ("(abs (- self.p_size 25))", "abs(p_size - 25)::double"), "cbrt": ("(cbrt self.p_size)", "cbrt(p_size)"), "square": ("(square self.p_size)", "p_size * p_size"), "exp2": ("(exp2 (/ self.p_size 10))", "pow(2, p_size / 10)"),
+    "expm1": ("(expm1 (/ self.p_size 50))", "exp(p_size / 50) - 1"), "log2": ("(log2 self.p_retailprice)", "log2(p_retailprice)"), "log1p": ("(log1p self.p_size)", "ln(1 + p_size)"), "trunc": ("(trunc (/ (- self.p_size 25) 4))", "trunc((p_size - 25) / 4)"),
+    "rint": ("(rint (/ self.p_size 4))", "round_even(p_size / 4, 0)"), "cos": ("(cos self.p_size)", "cos(p_size)"), "tan": ("(tan self.p_size)", "tan(p_size)"), "arcsin": ("(arcsin (/ self.p_size 50))", "asin(p_size / 50)"), "arccos": ("(arccos (/ self.p_size 50))", "acos(p_size / 50)"),
+    "arctan": ("(arctan self.p_size)", "atan(p_size)"), "sinh": ("(sinh (/ self.p_size 10))", "(exp(p_size / 10) - exp(-p_size / 10)) / 2"), "cosh": ("(cosh (/ self.p_size 10))", "(exp(p_size / 10) + exp(-p_size / 10)) / 2"),
+    "tanh": ("(tanh (/ self.p_size 10))", "(exp(p_size / 5) - 1) / (exp(p_size / 5) + 1)"), "degrees": ("(degrees self.p_size)", "degrees(p_size)"), "deg2rad": ("(deg2rad self.p_size)", "radians(p_size)"), "hypot": ("(hypot self.p_size 7)", "sqrt(p_size * p_size + 49)"),
+    "mod": ("(mod (- self.p_size 25) 7)", "((p_size - 25) % 7 + 7) % 7"), "fmod": ("(fmod (- self.p_size 25) 7)", "((p_size - 25) % 7)::double"), "minimum": ("(minimum self.p_size 30)", "least(p_size, 30)"), "nan_to_num": ("(nan_to_num (/ (- self.p_size 25) (- self.p_size 25)))", "case when p_size = 25 then 0 else 1 end"),
+}
+
+
+@query("select p_partkey, " + ", ".join(f"round(({sql})::double, 6) as {n}" for n, (_, sql) in NUMBERS.items()) + " from part")
+def expr_numeric_registry(spark, d):
+    f = parts(spark, d)
+    f.env["r6"] = lambda c: F.round(c.cast("double"), 6)
+    return f.reduce("p_partkey", **{n: f"(r6 {e})" for n, (e, _) in NUMBERS.items()}).df
+
+
+@query("""select p_partkey, p_size > 10 and p_size < 40 as a, p_size < 5 or p_size > 45 as b, (p_size > 25) <> (p_partkey % 2 = 0) as c, not p_size > 25 as d, p_size = 7 as e, p_size <> 7 as f, p_size < 7 as g, p_size <= 7 as h, p_size > 7 as i, p_size >= 7 as j,
+    false as k, true as l, p_size = 0 as m, true as n, false as o, upper(p_brand[1]) || lower(p_brand[2:]) as p, ends_with(p_name, 't') as q, p_brand <> 'Brand#2' as r, p_name || '.' as s, trim(p_name) as t, p_size not in (3, 5) as u from part""")
+def expr_logical_registry(spark, d):
+    return parts(spark, d).reduce(
+        "p_partkey", a="(logical_and (> self.p_size 10) (< self.p_size 40))", b="(logical_or (< self.p_size 5) (> self.p_size 45))", c="(logical_xor (> self.p_size 25) (= (% self.p_partkey 2) 0))", d="(logical_not (> self.p_size 25))", e="(equal self.p_size 7)",
+        f="(not_equal self.p_size 7)", g="(less self.p_size 7)", h="(less_equal self.p_size 7)", i="(greater self.p_size 7)", j="(greater_equal self.p_size 7)", k="(isnan self.p_retailprice)", l="(isfinite self.p_retailprice)", m="(isinf (/ 1 self.p_size))", n="(or true false)",
+        o="(and true false)", p="(char.capitalize self.p_brand)", q="(char.endswith self.p_name 't')", r="(char.not_equal self.p_brand 'Brand#2')", s="(char.add self.p_name '.')", t="(char.lstrip (char.rstrip self.p_name))", u="(isin self.p_size (list 3 5) (kw 'invert' true))",
+    ).df
+
+
+@query("select n_nationkey, case n_regionkey when 0 then 'south' when 1 then 'west' else 'elsewhere' end as side from nation")
+def expr_dict(spark, d):
+    """A dictionary made in an expression, handed to a function of the environment by keyword."""
+    f = Frame(table(spark, d, "nation"), Schema(n_nationkey="i4*", n_name="str", n_regionkey="i4"))
+
+    def lookup(c, known, otherwise):
+        out = F.lit(otherwise)
+        for k, v in known.items():
+            out = F.when(c == int(k), F.lit(v)).otherwise(out)
+        return out
+
+    f.env["lookup"] = lookup
+    return f.reduce("n_nationkey", side="(lookup self.n_regionkey (dict '0' 'south' '1' 'west') (kw 'otherwise' 'elsewhere'))").df
+
+
+@query(f"select event_id from events where ts >= timestamp '{T1}' and ts < timestamp '{T2}'")
+def frame_slice(spark, d):
+    return events(spark, d)[T1:T2].select("event_id").df
+
+
+@query("select true as same, false as other")
+def frame_equality(spark, d):
+    o = orders(spark, d)
+    return spark.createDataFrame([(o == o.sorted("o_totalprice"), o == o.slice(1))], "same boolean, other boolean")
+
+
 @query("select event_id, (isodow(ts) - 1)::int as wd, sha1(event_type) as sha, lpad(lower(printf('%x', epoch_us(ts) // 1000)), 11, '0') as hex, substr(sha1(event_type), 1, 2) || '/' || substr(sha1(event_type), 3, 2) || '/' || substr(sha1(event_type), 5) as path from events")
 def expr_helpers(spark, d):
     e = table(spark, d, "events")
@@ -546,6 +614,12 @@ def multi_write(spark, d):
     return c.df().select("label", "event_id", "value")
 
 
+@query("select event_type as label, count(*) as n, true as there, false as gone from events group by 1")
+def series_len_bool(spark, d):
+    c = event_store(spark, d)
+    return spark.createDataFrame([(s.label, len(s), bool(s), bool(c / f"{s.label} of old")) for s in c], "label string, n long, there boolean, gone boolean")
+
+
 @query("select distinct event_type as label from events")
 def labels_distinct(spark, d):
     return spark.createDataFrame([(x,) for x in event_store(spark, d).ls()], "label string")
@@ -584,9 +658,9 @@ def defrag_series(spark, d):
     return s.df()
 
 
-@query("select 'data' as what, 1 as left_over")
+@query("select ts, event_id, value, 1 as tables_left, 1 as tables_removed from events")
 def gc_orphans(spark, d):
-    """Tables that remain when a whole series was written over, after garbage collection."""
+    """A series that was written over whole, after garbage collection: all of its rows, the tables that remain and those that went."""
     c = event_store(spark, d)
     with c.multi():
         for label in c.ls():
@@ -594,15 +668,62 @@ def gc_orphans(spark, d):
     (c / "one").write(table(spark, d, "events").select("ts", "event_id", "value"))
     c.trim(dt.datetime(2100, 1, 1))
     c.repo.gc(timeout=0)
-    c.repo.gc(timeout=0)
-    return spark.createDataFrame([("data", len(c.repo.files.ls("data")))], "what string, left_over int")
+    removed, _ = c.repo.gc(timeout=0)
+    return (c / "one").df().select("*", F.lit(len(c.repo.files.ls("data"))).alias("tables_left"), F.lit(removed).alias("tables_removed"))
+
+
+@query("select event_type as label, event_id from events where event_type <> 'click'")
+def collection_delete(spark, d):
+    c = event_store(spark, d)
+    c.delete("click")
+    return c.df().select("label", "event_id")
 
 
-@query("select o_orderkey from orders except select l_orderkey from lineitem")
+@query("select event_type as label, ts, event_id, value from events")
 def pull_missing(spark, d):
-    """What one side has and the other lacks, as transfers find it."""
-    have = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, d, "orders").select("o_orderkey").join(have, "o_orderkey", "left_anti").distinct()
+    """A store that has an older state pulls what it lacks, and nothing twice."""
+    a, b = event_store(spark, d), new_repo(spark)
+    b.pull(a.repo)
+    have = set(b.files.ls("data"))
+    (a / "late").write(table(spark, d, "events").select("ts", "event_id", "value"))
+    b.pull(a.repo)
+    assert len(set(b.files.ls("data")) - have) == 1 and b.collection("events").pull(a) == 0
+    b.collection("events").delete("late")
+    return b.collection("events").df()
+
+
+CATALOG = "select * from (values ('collection', 'kept'), ('collection', 'new name'), ('archive', 'put away'), ('collection', 'from the other branch')) t(namespace, label)"
+
+
+@query(CATALOG)
+def repo_catalog(spark, d):
+    """Collections made, renamed, archived, deleted and merged from two branches of the registry."""
+    schema = Schema(k="int*")
+    repo = new_repo(spark)
+    repo.create_collection(schema, "kept", "old name", "put away", "gone")
+    base = repo.registry.leaf()
+    repo.rename("old name", "new name")
+    repo.archive("put away")
+    repo.delete("gone")
+    other = Repo(spark, repo.files.root)
+    known = other._catalog_at(base)
+    known["collection"]["from the other branch"] = known["collection"]["kept"]
+    other.registry.commit(json.dumps(known), [base.child])
+    repo.merge()
+    return spark.createDataFrame([(n, x) for n in ("collection", "archive") for x in repo.ls(n)], "namespace string, label string")
+
+
+@query("select c_custkey, c_acctbal + case when c_mktsegment = 'BUILDING' then 3 when c_mktsegment = 'MACHINERY' then 2 else 0 end as c_acctbal from customer")
+def kv_upserts_in_one_block(spark, d):
+    """Overlapping upserts of one block: the second goes over what the first has changed."""
+    c = table(spark, d, "customer")
+    s = new_repo(spark).create_collection(Schema.kv(c_custkey="int*", c_acctbal="float"), "c") / "customers"
+    s.write(c.select("c_custkey", "c_acctbal"))
+    raised = lambda segments, by: c.where(F.col("c_mktsegment").isin(segments)).select("c_custkey", (F.col("c_acctbal") + by).alias("c_acctbal"))
+    with s.collection.multi():
+        s.write(raised(["BUILDING", "MACHINERY"], 2))
+        s.write(raised(["BUILDING"], 3))
+    return s.df()
 
 
 for _kind in ("csv", "parquet"):
@@ -632,7 +753,8 @@ def drange_spine(spark, d):
 @query("with s as (select unnest(generate_series(timestamp '2024-01-01', timestamp '2024-01-30', interval 7 day)) as start) select start, least(start + interval 7 day, timestamp '2024-01-31') as stop, count(event_id) as n from s left join events on ts >= start and ts < least(start + interval 7 day, timestamp '2024-01-31') group by 1, 2")
 def interval_windows(spark, d):
     w = ops.windows(spark, "2024-01-01", "2024-01-31", "7 days")
-    return w.join(table(spark, d, "events"), (F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("stop")), "left").groupBy("start", "stop").agg(F.count("event_id").alias("n"))
+    e = table(spark, d, "events").where("ts < timestamp_ntz '2024-01-31'").groupBy(ops.window_start(F.col("ts"), "2024-01-01", 7).alias("start")).agg(F.count("event_id").alias("n"))
+    return w.join(e, "start", "left").select("start", "stop", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("select p_partkey, p_name from part where contains(lower(p_name), 'red') or contains(lower(p_name), 'ring')")
@@ -653,17 +775,20 @@ def trigram_search_parts(spark, d):
     return trigram_search(trigram_index(table(spark, d, "part"), "p_partkey", "p_name"), "p_partkey", "widget")
 
 
-@query("select event_type as label, event_id, value from events")
+@query("select event_type as label, event_id, value + case when event_id % 4 = 0 then 0.5 else 0 end as value from events")
 def stream_into_series(spark, d):
-    """The events as a stream of files, each micro-batch one revision."""
-    source = table(spark, d, "events")
+    """The events as a stream of five files, each a micro-batch and a revision, which interleave in time; the last corrects a quarter of the rows."""
+    source = table(spark, d, "events").select(F.col("event_type").alias("label"), "ts", "event_id", "value")
     folder = new_path(spark, "incoming")
-    source.select(F.col("event_type").alias("label"), "ts", "event_id", "value").write.parquet(folder)
-    stream = spark.readStream.schema("label string, ts timestamp_ntz, event_id long, value double").parquet(folder)
+    for i in range(4):
+        source.where(F.col("event_id") % 4 == i).coalesce(1).write.mode("append").parquet(folder)
+    source.where("event_id % 4 = 0").withColumn("value", F.col("value") + 0.5).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema("label string, ts timestamp_ntz, event_id long, value double").option("maxFilesPerTrigger", 1).parquet(folder)
     c = new_repo(spark).create_collection(Schema(ts="M8[us]*", event_id="int*", value="float"), "c")
     q = write_stream(stream, c, new_path(spark, "stream-checkpoint"), f"q{new_path(spark, 'x')[-8:]}")
     q.awaitTermination()
     c.refresh()
+    assert len(c.changelog.log()) == 5
     return c.df().select("label", "event_id", "value")
 
 

@@ -72,7 +72,10 @@ class Series:
             yield chosen(page, select)
 
     def __len__(self) -> int:
-        return self.df().count()
+        """Tables that are shown whole are counted by the manifest, the others by a scan."""
+        segments = self.segments()
+        cut = [s for s in segments if not s.whole]
+        return sum(s.length for s in segments if s.whole) + (self.collection.scan(cut).count() if cut else 0)
 
     def __bool__(self) -> bool:
         return self.label in self.collection.manifest().labels
@@ -425,8 +428,10 @@ class Repo:
     # --- collections
 
     def _catalog(self) -> dict[str, dict[str, dict]]:
-        leaf = self.registry.leaf()
-        return json.loads(self.registry.read(leaf)) if leaf else {}
+        return self._catalog_at(self.registry.leaf())
+
+    def _catalog_at(self, revision: Revision | None) -> dict[str, dict[str, dict]]:
+        return json.loads(self.registry.read(revision)) if revision else {}
 
     def _save(self, catalog: dict) -> None:
         self.registry.commit(json.dumps(catalog))
