@@ -70,7 +70,41 @@ def test_cli(spark, tmp_path):
         cli("read", "nope/x")
 
 
+def test_command_line_pages_and_tails(spark, tmp_path):
+    uri = str(tmp_path / "s")
+    repo = Repo(spark, uri)
+    s = repo.create_collection(Schema(k="int*", v="int", note="str"), "c") / "x"
+    s.write({"k": list(range(7)), "v": [5, 1, 4, 2, 8, 3, 9], "note": list("abcdefg")})
+
+    def cli(*argv):
+        out = io.StringIO()
+        run(spark, ["--repo", uri, *argv], out)
+        return out.getvalue().splitlines()
+
+    assert cli("read", "c/x", "(sum self.v)", "--paginate", "3")[1:] == ["10", "13", "9"]
+    assert cli("read", "c/x", "(sum self.v)", "--tail", "2")[1:] == ["12"]
+    assert cli("read", "c/x", "k", "--paginate", "4") == ["k", *map(str, range(7))]
+    assert cli("read", "c/x", "k", "note", "--paginate", "2", "--offset", "3", "--limit", "2") == ["k,note", "3,d", "4,e"]
+    assert cli("--pretty", "read", "c/x", "v", "note", "--limit", "1") == ["v  note", "5  a"]
+    assert len(cli("rev", "c", "--extend", "--extend")) == 2 and any("paginate" in x or "read" in x for x in cli("help"))
+
+
+def test_export_replaces_an_export(spark, repo, tmp_path):
+    folder = str(tmp_path / "out")
+    for _ in range(2):
+        export_collections(repo, folder, kind="parquet")
+    target = Repo(spark, str(tmp_path / "target"))
+    import_collections(target, folder)
+    for c in repo:
+        assert target.collection(c.label).df().count() == c.df().count()
+
+
 def test_csv_text(spark, repo):
+    notes = repo.create_collection(Schema(k="int*", note="str"), "notes")
+    write_csv_text(repo, "notes", "n", 'k,note\n1,"two\nlines, one ""field"""\n\n2,\n')
+    assert [(r.k, r.note) for r in (notes / "n").df().orderBy("k").collect()] == [(1, 'two\nlines, one "field"'), (2, None)]
+    with pytest.raises(ValueError):
+        write_csv_text(repo, "notes", "n", "k,note\n1\n")
     write_csv_text(repo, "wea/ther", "z", "timestamp,value\n2020-01-01T00:00,nan\n")
     assert (repo.collection("wea/ther") / "z").df().count() == 1
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 import time
+from itertools import chain, islice
 
 from pyspark.sql import SparkSession
 
-from tideline.operators.frame import Frame, mask
+from tideline.operators.frame import Frame, mask, paged
 from tideline.sources.transfer import export_collections, import_collections, write_csv_text
 from tideline.store.repo import Repo
 from tideline.store.schema import Schema
@@ -27,7 +29,8 @@ def one(known: list[str], given: str, what: str) -> str:
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tideline")
     p.add_argument("--repo", required=True)
-    p.add_argument("--timing", action="store_true")
+    p.add_argument("--timing", action="store_true", help="print the seconds a command took")
+    p.add_argument("--pretty", action="store_true", help="print columns under one another")
     sub = p.add_subparsers(dest="command", required=True)
 
     def command(name: str, *args: str, **options):
@@ -48,7 +51,8 @@ def parser() -> argparse.ArgumentParser:
     command("ls", "collection?")
     command("create", "columns*", collection={"required": True}, kv=flag)
     command("write", "series")
-    command("rev", "collection", extend=flag)
+    command("rev", "collection", extend={"action": "count", "default": 0})
+    command("help")
     for name in ("merge", "defrag", "trim"):
         command(name, "collection*")
     command("squash", "collection*")
@@ -63,6 +67,25 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def text_of(v) -> str:
+    return "" if v is None else v.isoformat() if hasattr(v, "isoformat") else str(v)
+
+
+def table(pages: list, offset: int, limit: int | None, pretty: bool, say) -> None:
+    """Rows of several DataFrames, one after the other, as CSV or in columns of equal width."""
+    rows = chain.from_iterable(df.toLocalIterator() for df in pages)
+    rows = (tuple(map(text_of, r)) for r in islice(rows, offset, None if limit is None else offset + limit))
+    head = tuple(pages[0].columns)
+    if not pretty:
+        for r in chain([head], rows):
+            say(",".join(r))
+        return
+    rows = [head, *rows]  # what a screen shows
+    widths = [max(len(r[i]) for r in rows) for i in range(len(head))]
+    for r in rows:
+        say("  ".join(x.ljust(w) for x, w in zip(r, widths)).rstrip())
+
+
 def run(spark: SparkSession, argv: list[str], out=sys.stdout, text=None) -> int:
     args = parser().parse_args(argv)
     began, repo = time.time(), Repo(spark, args.repo)
@@ -85,17 +108,18 @@ def run(spark: SparkSession, argv: list[str], out=sys.stdout, text=None) -> int:
         if args.mask:  # before the projection, so that it sees every column
             df = mask(df, args.mask, s.schema.idx)
         frame = Frame(df, s.schema)
-        if any("(" in c for c in args.columns):
-            frame = frame.reduce(*args.columns)
-            frame = frame.sorted(*frame.df.columns)
-        else:
-            frame = frame.tail(args.tail) if args.tail else frame.sorted()
-            frame = frame.select(*args.columns)
-        df = frame.df.offset(args.offset or 0)
-        df = df if args.limit is None else df.limit(args.limit)
-        say(",".join(df.columns))
-        for r in df.toLocalIterator():
-            say(",".join("" if v is None else v.isoformat() if hasattr(v, "isoformat") else str(v) for v in r))
+        if args.tail:  # of the rows, before anything is made of them
+            frame = frame.tail(args.tail)
+        computed = any("(" in c for c in args.columns)
+        pages = [Frame(p, s.schema) for p in paged(frame.df, s.schema.idx, args.paginate)] if args.paginate else [frame]
+        shown = []
+        for page in pages or [frame]:
+            if computed:  # aggregates are those of a page
+                page = page.reduce(*args.columns)
+                shown.append(page.sorted(*page.df.columns).df)
+            else:
+                shown.append(page.sorted().select(*args.columns).df)
+        table(shown, args.offset or 0, args.limit, args.pretty, say)
     elif command == "length":
         say(series(args.series).df(args.greater_than, args.less_than).count())
     elif command == "ls":
@@ -110,7 +134,10 @@ def run(spark: SparkSession, argv: list[str], out=sys.stdout, text=None) -> int:
     elif command == "rev":
         c = collection(args.collection)
         for r in c.changelog.log():
-            say("*" if r.is_leaf else " ", r.child, *([f"{len(c.manifest(revision=r).segments)} segments"] if args.extend else []))
+            segments = c.manifest(revision=r).segments if args.extend else ()
+            say("*" if r.is_leaf else " ", r.child, *([f"{len(segments)} segments"] if args.extend else []))
+            for s in segments if args.extend > 1 else ():
+                say("   ", s.label, json.dumps(s.interval.to_json(c.schema)), s.digest, s.length)
     elif command in ("merge", "defrag", "trim", "squash"):
         for c in some:
             got = getattr(c, command)()
@@ -136,6 +163,8 @@ def run(spark: SparkSession, argv: list[str], out=sys.stdout, text=None) -> int:
         export_collections(repo, args.folder, [c.label for c in some], args.type)
     elif command == "import":
         import_collections(repo, args.folder, args.collection or None)
+    elif command == "help":
+        say(parser().format_help())
     elif command == "version":
         from tideline import __version__
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,8 @@ from tideline.plans.shared import ship, written
 
 #: Periods of a block, and periods with readings that it is told of on each side at most: the smoother's memory is about (r/q)^(1/4) of them, 32 at most, and a block tells of eight times its own.
 PERIODS, EDGE = 4096, 256
+#: Periods of a block at least, however long they are.
+LEAST = 512
 #: Readings further from their neighbours' median than so many standard deviations have their variance raised, so that spikes don't bend the level.
 GATE = 5.0
 #: Periods between two readings up to which a change of level is a step.
@@ -242,11 +244,17 @@ def block_grids(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         )
 
 
-def cells(readings: DataFrame, info: DataFrame) -> DataFrame:
-    """The series' columns, k, n, fit, mean, offset, observed: one row per period with a value. One shuffle by (series, period), in which versions are resolved too, so that a dense period is summed where it is read."""
-    rows = versions(readings, info).withColumn("k", F.floor(F.col("t") / F.col("period_s")))
-    at = [*SERIES, "k"]
-    held = rows.repartition(*at).groupBy(*at, "t").agg(F.max(F.struct("ver", "value")).alias("h"), F.min("low").alias("low"), F.max("high").alias("high")).select(*at, "t", "low", "high", F.col("h.value").alias("value")).where("value is not null")
+def block_periods(periods: int) -> Column:
+    """Periods of a block. Of long periods fewer make a block, since each may hold a reading a second."""
+    return F.least(F.lit(periods), F.greatest(F.lit(LEAST), F.floor(F.lit(PERIODS * 3600) / F.col("period_s")))).cast("long")
+
+
+def cells(readings: DataFrame, info: DataFrame, periods: int = PERIODS) -> DataFrame:
+    """The series' columns, block, k, n, fit, mean, offset, observed: one row per period with a value. The one shuffle, by (series, block), serves the versions, the sums of periods and the packing of blocks; a dense period is summed as it arrives."""
+    k = F.floor(F.col("t") / F.col("period_s"))
+    rows = versions(readings, info).withColumn("k", k).withColumn("block", F.floor(F.col("k") / block_periods(periods)))
+    at = [*SERIES, "block", "k"]
+    held = rows.repartition(*SERIES, "block").groupBy(*at, "t").agg(F.max(F.struct("ver", "value")).alias("h"), F.min("low").alias("low"), F.max("high").alias("high")).select(*at, "t", "low", "high", F.col("h.value").alias("value")).where("value is not null")
     finite = F.abs("value") != F.lit(float("inf"))
     good = finite & (F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high"))
     offset = (F.col("t") - F.col("k") * F.col("period_s")) / F.col("period_s")
@@ -268,8 +276,7 @@ def regular_grid(readings: DataFrame, info: DataFrame, periods: int = PERIODS) -
     A block is smoothed together with up to EDGE periods with readings on either side of it, however far away they are, under the noise of the whole label; what lies beyond those has lost its weight, see PERIODS. Writes one table of blocks.
     """
     ship(readings.sparkSession)
-    own = cells(readings, info).withColumn("block", F.floor(F.col("k") / periods))
-    placed = own.repartition(*SERIES, "block").sortWithinPartitions(*SERIES, "block", "k")
+    placed = cells(readings, info, periods).sortWithinPartitions(*SERIES, "block", "k")
     blocks = written(placed.mapInArrow(packed, T._parse_datatype_string(PACKED)), "grid-blocks")
     sums = ("near", "near_n", "far", "far_n", "spread", "spread_n")
     stats = {"first_k": (F.min, "min_k"), "last_k": (F.max, "max_k"), **{c: (F.sum, c) for c in sums}}
@@ -279,5 +286,5 @@ def regular_grid(readings: DataFrame, info: DataFrame, periods: int = PERIODS) -
     pause = told.where("next_block > block + 1").select(*SERIES, F.explode(F.sequence(F.col("block") + 1, F.col("next_block") - 1)).alias("block"), last_of(F.concat("before", "tail"), EDGE).alias("before"), "after", *stats)
     arrays = ["k", "mean", "offset", "fit", "observed", "n"]
     full = blocks.select(*SERIES, "block", *arrays).join(told.select(*SERIES, "block", "before", "after", *stats), [*SERIES, "block"])
-    both = full.unionByName(pause, allowMissingColumns=True).withColumn("periods", F.lit(periods).cast("long"))
+    both = full.unionByName(pause, allowMissingColumns=True).withColumn("periods", block_periods(periods))
     return both.mapInArrow(gridded, T._parse_datatype_string(SCHEMA))

@@ -12,9 +12,9 @@ import hashlib
 import json
 import uuid
 from collections.abc import Callable, Iterator
-from concurrent.futures import Future, ThreadPoolExecutor
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
-from dataclasses import replace
+from dataclasses import dataclass, replace
 from functools import reduce
 from typing import Any
 
@@ -91,14 +91,17 @@ class Series:
         df = complete(self.schema, self.schema.create(self.repo.spark, data))
         if self.schema.kind == "kv" and start is None and stop is None and not root:
             return self._upsert(df)
-        if self.collection._pool is not None and not root:
-            self.collection._batch.append(self.collection._pool.submit(self._segment, df, start, stop, closed, presorted))
+        if self.collection._batch is not None and not root:
+            self.collection._batch.append(Pending(self, df, start, stop, closed))
             return []
         new = self._segment(df, start, stop, closed, presorted)
         return self.collection.put([new], root) if new else []
 
     def _segment(self, df: DataFrame, start: Any, stop: Any, closed: Any, presorted: bool) -> Segment | None:
-        stored = self.repo.store(self.schema, df, presorted)
+        return self._shown(self.repo.store(self.schema, df, presorted), start, stop, closed)
+
+    def _shown(self, stored: Stored, start: Any, stop: Any, closed: Any, part: str | None = None) -> Segment | None:
+        """The segment of rows that have been stored; none for no rows without both bounds."""
         if not stored.length and (start is None or stop is None):
             return None
         n = len(self.schema.idx)
@@ -109,7 +112,7 @@ class Series:
             raise ValueError(f"start {first} lies after stop {last}")
         interval = Interval(first, last, Closed.cast(closed))
         whole = bool(stored.length) and interval.covers(Interval(stored.first, stored.last))
-        return Segment(self.label, interval, stored.digest, stored.length, whole)
+        return Segment(self.label, interval, stored.digest, stored.length, whole, part)
 
     def _upsert(self, new: DataFrame) -> list[Revision]:
         def written(held: Manifest) -> Segment | None:
@@ -156,8 +159,7 @@ class Collection:
     def __init__(self, repo: Repo, label: str, schema: Schema, path: str):
         self.repo, self.label, self.schema, self.path = repo, label, schema, path
         self.changelog = Changelog(repo.files, f"collections/{path}/_log")
-        self._batch: list[Segment | Future | Callable[[Manifest], Segment | None]] | None = None
-        self._pool: ThreadPoolExecutor | None = None
+        self._batch: list[Segment | Pending | Callable[[Manifest], Segment | None]] | None = None
 
     def series(self, label: str) -> Series:
         label = label.strip()
@@ -270,17 +272,32 @@ class Collection:
         return self.changelog.commit(held.apply(*ready).dumps(), [ROOT] if root else None)
 
     @contextmanager
-    def multi(self, root: bool = False, parallel: int = 8):
-        """Writes in this block become one revision at its end; none if it raises. So many of them run at the same time; they count in the order they were called."""
-        self._batch, self._pool = [], ThreadPoolExecutor(parallel) if parallel > 1 else None
+    def multi(self, root: bool = False):
+        """Writes in this block become one revision at its end; none if it raises. They count in the order they were called. Their rows are stored together, in one job and one table however many they are."""
+        self._batch = []
         try:
             yield self
             batch, self._batch = self._batch, None
-            self.put([s.result() if isinstance(s, Future) else s for s in batch], root)
+            self.put(self._stored(batch), root)
         finally:
-            self._batch, pool, self._pool = None, self._pool, None
-            if pool:
-                pool.shutdown()
+            self._batch = None
+
+    def _stored(self, batch: list) -> list:
+        """The batch with its pending writes stored."""
+        waiting = [w for w in batch if isinstance(w, Pending)]
+        if not waiting:
+            return batch
+        if len(waiting) == 1:
+            done = {id(w): w.series._segment(w.df, w.start, w.stop, w.closed, False) for w in waiting}
+        else:
+            rows = reduce(DataFrame.unionByName, (w.df.select(F.lit(f"{i} {w.series.label}").alias(PART), *self.schema) for i, w in enumerate(waiting)))
+            checked = rows.select("*", F.when(holes(self.schema), F.raise_error(F.lit("a row has a null in the index"))).alias("_check")).where("_check is null").drop("_check")
+            stored = {part: Stored(digest, n, first, last) for part, first, last, digest, n in self.repo.store_labelled(self._labelled_schema, checked)}
+            done = {}
+            for i, w in enumerate(waiting):
+                part = f"{i} {w.series.label}"
+                done[id(w)] = w.series._shown(stored.get(part, Stored("", 0, None, None)), w.start, w.stop, w.closed, part if part in stored else None)
+        return [done[id(w)] if isinstance(w, Pending) else w for w in batch]
 
     def write(self, df: DataFrame, label_column: str = "label") -> list[Revision]:
         """Writes many series at once from one DataFrame with a column of labels: one table, one revision; each label shows its part of the table."""
@@ -418,6 +435,17 @@ class Stored:
         self.digest, self.length, self.first, self.last = digest, length, first, last
 
 
+@dataclass
+class Pending:
+    """A write that waits for the end of its block."""
+
+    series: Series
+    df: DataFrame
+    start: Any
+    stop: Any
+    closed: Any
+
+
 class Repo:
     """A store of collections at a URI, with namespaces."""
 
