@@ -75,3 +75,21 @@ def test_encoded(spark):
     assert back[1] == "Hello world's 新聞" and back[2] == "" and back[None] == "x y"
     assert {r.doc_id: r.n_tokens for r in tokens.token_counts(df).collect()}[1] == len(first[1])
     assert tokens.encoded(df.limit(0)).count() == 0
+
+
+def test_the_vocabulary_goes_along(spark, tmp_path, monkeypatch):
+    """Workers that lack the file read the copy that was sent with the plan."""
+    import os
+    import shutil
+
+    from tideline.llm import tokens
+
+    copy = str(tmp_path / "vocabulary_of_this_test.tiktoken")
+    shutil.copy(tokens.VOCABULARY, copy)
+    df = spark.createDataFrame([(1, "The mill burned.")], "doc_id long, text string")
+    there = [r.ids for r in tokens.encoded(df, copy, offsets=False).collect()]
+    tokens.ship_with(spark, copy)
+    os.remove(copy)
+    again = spark.createDataFrame([(1, "The mill burned.")], "doc_id long, text string").repartition(2)
+    run = tokens._mapped(again, copy, "doc_id", "text", "n long", lambda keys, texts: __import__("pyarrow").RecordBatch.from_arrays([keys, __import__("pyarrow").array([len(tokens.Encoder(tokens.located(copy)).encode(texts)[0])] * len(texts))], ["doc_id", "n"]))
+    assert [r.n for r in run.collect()] == [len(there[0])]

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.mixing import Mixture
+from tideline.llm.mixing import Mixture, available
 from tideline.llm.residue import residue
 from tideline.llm.tokens import decoded, encoded
 
@@ -35,7 +36,15 @@ def p7_shares(spark, d):
 
 def p7_available(spark, d):
     """What each target could draw on."""
-    return p7_shares(spark, d).select("source", "weight", "max_repeat", "documents", F.round("target_share", 9).alias("target_share"))
+    df = available(table(spark, d, "documents"), table(spark, d, "mix_target"))
+    return df.withColumn("target_share", F.round("target_share", 9))
+
+
+def p7_kept_rules(spark, d):
+    """Copies against the sampling rule and the caps, for the usual and the exact mix."""
+    made = (("usual", 0.1), ("exact", 0.0))
+    each = (Mixture(table(spark, d, "documents"), table(spark, d, "mix_target"), shortfall=s).kept_rules.select(F.lit(name).alias("mix"), "*") for name, s in made)
+    return reduce(DataFrame.unionByName, each)
 
 
 def p7_exact_shares(spark, d):
@@ -58,7 +67,7 @@ def p8_clean(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_ids, p6_roundtrip, p7_mix, p7_shares, p7_exact_shares, p7_exact_mix, p7_available, p8_found, p8_clean)}
+    return {f.__name__: f for f in (p6_ids, p6_roundtrip, p7_mix, p7_shares, p7_exact_shares, p7_exact_mix, p7_available, p7_kept_rules, p8_found, p8_clean)}
 
 
 def sql() -> dict[str, str]:
@@ -66,4 +75,5 @@ def sql() -> dict[str, str]:
     available = f"""with t as (select {tidy} as source, max(weight) as weight, arg_max(max_repeat, weight)::bigint as max_repeat from mix_target group by 1),
     d as (select {tidy} as source, count(*) as documents from documents group by 1)
     select t.source, t.weight, t.max_repeat, coalesce(d.documents, 0) as documents, round(t.weight / sum(t.weight) over (), 9) as target_share from t left join d using (source)"""
-    return {"p6_roundtrip": "select doc_id, coalesce(text, '') as text from documents", "p7_available": available}
+    rules = f"select mix, source, true as by_the_integers, true as capped from (select distinct {tidy} as source from mix_target where {tidy} is not null) t, (values ('usual'), ('exact')) m(mix)"
+    return {"p7_kept_rules": rules, "p6_roundtrip": "select doc_id, coalesce(text, '') as text from documents", "p7_available": available}

@@ -70,6 +70,20 @@ def ratios(rows: list[dict], total: float | None, shortfall: float) -> tuple[flo
     return sum(amount.values()), {r["source"]: min(amount[r["source"]] / r["tokens"], float(r["max_repeat"])) for r in usable}
 
 
+def wanted(targets: DataFrame) -> DataFrame:
+    """source, weight, max_repeat: one row per target source, see Mixture."""
+    best = F.max(F.struct(F.coalesce(F.col("weight"), F.lit(0.0)).alias("weight"), F.coalesce(F.col("max_repeat"), F.lit(0)).cast("long").alias("max_repeat")))
+    return targets.select(tidy_source(F.col("source")).alias("source"), "weight", "max_repeat").where("source is not null").groupBy("source").agg(best.alias("b")).select("source", "b.weight", "b.max_repeat")
+
+
+def available(documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """source, weight, max_repeat, documents, target_share: what each target could draw on, counted without encoding a text."""
+    n = documents.groupBy(tidy_source(F.col("source")).alias("source")).agg(F.count(F.lit(1)).alias("documents"))
+    everything = W.partitionBy(F.lit(1))  # one row per target
+    share = F.when(F.sum("weight").over(everything) > 0, F.col("weight") / F.sum("weight").over(everything)).otherwise(0.0)
+    return wanted(targets).join(n, "source", "left").select("source", "weight", "max_repeat", F.coalesce("documents", F.lit(0)).alias("documents"), share.alias("target_share"))
+
+
 class Mixture:
     """``copies``: doc_id, source, n_tokens, copy_no; ``shares``: per target what was wanted and what was reached."""
 
@@ -82,8 +96,7 @@ class Mixture:
         """
         spark = documents.sparkSession
         source = tidy_source(F.col("source"))
-        best = F.max(F.struct(F.coalesce(F.col("weight"), F.lit(0.0)).alias("weight"), F.coalesce(F.col("max_repeat"), F.lit(0)).cast("long").alias("max_repeat")))
-        self.targets = targets.select(source.alias("source"), "weight", "max_repeat").where("source is not null").groupBy("source").agg(best.alias("b")).select("source", "b.weight", "b.max_repeat")
+        self.targets = wanted(targets)
         keyed = documents.select(F.struct("doc_id", source.alias("source")).alias("key"), "text").join(self.targets.select(F.col("source").alias("wanted")), F.col("key.source") == F.col("wanted"), "left_semi")
         self.counts = written(token_counts(keyed, vocabulary, "key").select("key.doc_id", "key.source", "n_tokens"), "token-counts")
         sizes = self.counts.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"))
@@ -110,6 +123,14 @@ class Mixture:
         df = df.withColumn("n_copies", F.least(crossed, F.col("cap"))).where("n_copies > 0")
         return df.select("doc_id", "source", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int"))).alias("copy_no"))
 
+    @property
+    def kept_rules(self) -> DataFrame:
+        """source, by_the_integers, capped: whether a source has as many copies as its expected number says, up to one, and no document more than its cap; one row per target."""
+        each = self.copies.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("c"))
+        got = each.groupBy("source").agg(F.sum("c").alias("copies"), F.max("c").alias("most"))
+        df = self.plan.join(self.report.select("source", "documents"), "source").join(got, "source", "left").fillna(0, ["copies", "most"])
+        return df.select("source", (F.abs(F.col("copies") - F.col("ratio") * F.col("documents")) < 1).alias("by_the_integers"), (F.col("most") <= F.col("cap")).alias("capped"))
+
     @property
     def shares(self) -> DataFrame:
         """source, weight, max_repeat, documents, tokens, target_share, reached_tokens, reached_share, most_copies: one row per target."""

@@ -12,13 +12,15 @@ from __future__ import annotations
 
 import base64
 import heapq
+import os
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -232,7 +234,21 @@ class Encoder:
 
 @cache
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return Encoder(located(path))
+
+
+def located(path: str) -> str:
+    """Where a vocabulary lies; on workers without the file, the copy that went along with the plan."""
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
+def ship_with(spark: SparkSession, vocabulary: str) -> None:
+    """Sends the package and the vocabulary to the workers, each once for a Spark context."""
+    ship(spark)
+    sent = spark.sparkContext.__dict__.setdefault("_tideline_vocabularies", set())
+    if vocabulary not in sent:
+        spark.sparkContext.addFile(vocabulary)
+        sent.add(vocabulary)
 
 
 def portions(texts: list[str], characters: int = 1_000_000) -> Iterator[list[str]]:
@@ -259,7 +275,7 @@ def encode_texts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids), np.concatenate(at)
 
 
-def _mapped(df: DataFrame, id_column: str, text_column: str, extra: str, make):
+def _mapped(df: DataFrame, vocabulary: str, id_column: str, text_column: str, extra: str, make):
     kind = df.schema[id_column].dataType.simpleString()
     schema = T._parse_datatype_string(f"`{id_column}` {kind}, {extra}")
 
@@ -267,7 +283,7 @@ def _mapped(df: DataFrame, id_column: str, text_column: str, extra: str, make):
         for batch in batches:
             yield make(batch.column(0), ["" if t is None else t for t in batch.column(1).to_pylist()])
 
-    ship(df.sparkSession)
+    ship_with(df.sparkSession, vocabulary)
     return df.select(F.col(id_column), F.col(text_column).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
@@ -287,7 +303,7 @@ def encoded(documents: DataFrame, vocabulary: str = VOCABULARY, id_column: str =
             columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(start, pa.int32())))
         return pa.RecordBatch.from_arrays(columns, [id_column, "ids", "offsets"][: len(columns)])
 
-    return _mapped(documents, id_column, text_column, "ids array<int>" + (", offsets array<int>" if offsets else ""), make)
+    return _mapped(documents, vocabulary, id_column, text_column, "ids array<int>" + (", offsets array<int>" if offsets else ""), make)
 
 
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -297,7 +313,7 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY, id_column:
         _, at = encode_texts(texts, vocabulary)
         return pa.RecordBatch.from_arrays([keys, pa.array(np.diff(at), pa.int64())], [id_column, "n_tokens"])
 
-    return _mapped(documents, id_column, text_column, "n_tokens long", make)
+    return _mapped(documents, vocabulary, id_column, text_column, "n_tokens long", make)
 
 
 def decoded(ids: DataFrame, vocabulary: str = VOCABULARY, id_column: str = "doc_id") -> DataFrame:
@@ -310,5 +326,5 @@ def decoded(ids: DataFrame, vocabulary: str = VOCABULARY, id_column: str = "doc_
             texts = [enc.decode(i or []).decode("utf-8", "replace") for i in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_column, "text"])
 
-    ship(ids.sparkSession)
+    ship_with(ids.sparkSession, vocabulary)
     return ids.select(id_column, "ids").mapInArrow(run, schema)
