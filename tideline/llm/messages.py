@@ -183,19 +183,37 @@ def rules() -> list[tuple[str, str]]:
 
 #: Letters of folded texts from the rarest on.
 RARE = "xzkpwgmdshtrnio"
+#: Those of them that most positions have.
+OFTEN = "shtrnio"
 
 
 def anchor_pattern(anchors: list[str] | None = None) -> str:
-    """Whether a text has any word of these anchors (all there are, if none are given), in one quick pass: each word is looked for from its rarest letter on, looking behind for what precedes it."""
+    """Whether a text has any word of these anchors (all there are, if none are given), in one quick pass: each word is looked for from its rarest letter on."""
     words = {max(map(squeeze, w.split(".")), key=len) for a in anchors or [a for a, _ in rules()] for w in listed(a)}
     if anchors is None:
         words |= {squeeze(w) * 2 for w in REPEATED.split()} | {"xxx", squeeze("lorem ipsum")} | {squeeze(w) for w in MOCK_LATIN.split() if len(w) >= LONG}
     words = {w for w in words if not any(o != w and o in w for o in words)}
-    by_letter: dict[str, list[str]] = {}
-    for w in sorted(words):
-        i = min(range(len(w)), key=lambda j: (RARE.find(w[j]) if w[j] in RARE else -1, -j))
-        by_letter.setdefault(w[i], []).append((rf"(?<={w[: i + 1]})" if i else "") + w[i + 1 :])
-    return "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by_letter.items(), key=lambda x: RARE.find(x[0])))
+    by_letter: dict[str, dict[str, list[str]]] = {}
+    for w in words:
+        i = min(range(len(w) - 1), key=lambda j: (RARE.find(w[j]) if w[j] in RARE else -1, RARE.find(w[j + 1]) if w[j + 1] in RARE else -1))
+        by_letter.setdefault(w[i], {}).setdefault(w[i + 1 :], []).append(w)
+    letters = sorted(by_letter, key=RARE.find)
+    # from the letter on branch by branch; what precedes it is looked at last
+    behind = lambda ends: {rest: "(?:" + "|".join(f"(?<={w})" for w in sorted(ws)) + ")" for rest, ws in ends.items()}
+    each = {c: c + branches(behind(by_letter[c])) for c in letters}
+    seldom = [c for c in letters if c not in OFTEN]
+    return "|".join([f"(?=[{''.join(seldom)}])(?:" + "|".join(each[c] for c in seldom) + ")", *(each[c] for c in letters if c in OFTEN)])
+
+
+def branches(ends: dict[str, str]) -> str:
+    """Texts and what must follow each of them, as a regular expression that branches by letter."""
+    here = [ends[""]] if "" in ends else []
+    by_first: dict[str, dict[str, str]] = {}
+    for text, then_ in ends.items():
+        if text:
+            by_first.setdefault(text[0], {})[text[1:]] = then_
+    parts = [*(re.escape(c) + branches(rest) for c, rest in sorted(by_first.items())), *here]
+    return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
 
 
 def squeeze(words: str) -> str:
