@@ -143,7 +143,8 @@ def reduce_frame(df: DataFrame, order: list[str], columns: list[str] | tuple[str
     """
     items = [(c, parse(c) if c.lstrip().startswith("(") else ["as", f"self.{c}", Quoted(c)], None) for c in columns]
     items += [(n, parse(e) if e.lstrip().startswith("(") else f"self.{e}", n) for n, e in (aliases or {}).items()]
-    aggregated = [is_aggregate(form) or any(w in arrays.AGGREGATES for w in names(form)) for _, form, _ in items]
+    own = {n for n, f in (env or {}).items() if getattr(f, "aggregates", False)}
+    aggregated = [is_aggregate(form, env) or any(w in own or (w in arrays.AGGREGATES and w not in (env or {})) for w in names(form)) for _, form, _ in items]
     keyed = any(aggregated) and not all(aggregated)
     compiler = Compiler(df, env, order, grouped=keyed)
     compiler.ranked, compiler.running = [], []
@@ -202,6 +203,12 @@ def with_quantile(df: DataFrame, keys: list[Column], value: Column, q: float, ho
     return df.join(found.withColumnRenamed("_v", name), on, "left").select(*df.columns, name)
 
 
+def aggregate(f):
+    """Marks a function of columns as one that turns the rows of a group into one value, so that expressions may call it like ``sum``; it is put into an environment like any other."""
+    f.aggregates = True
+    return f
+
+
 def mask(df: DataFrame, expression: str, order: list[str] | None = None, env: dict | None = None) -> DataFrame:
     """Rows for which an expression is true."""
     value = Compiler(df, env, order).eval(parse(expression))

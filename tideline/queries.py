@@ -323,6 +323,14 @@ def udf_env(spark, d):
     return f.reduce("n_nationkey", shout="(shout self.n_name '!')").df
 
 
+@query("select l_returnflag, round(exp(avg(ln(l_quantity))), 6) as geometric, round(sum(l_extendedprice * l_discount) / sum(l_discount), 4) as weighted, count(*) as n from lineitem group by 1")
+def udaf_env(spark, d):
+    """Aggregates of one's own, by the environment."""
+    f = items(spark, d)
+    f.env |= {"r": F.round, "geometric": ops.aggregate(lambda c: F.exp(F.avg(F.ln(c)))), "weighted": ops.aggregate(lambda c, w: F.sum(c * w) / F.sum(w))}
+    return f.reduce("l_returnflag", geometric="(r (geometric self.l_quantity) 6)", weighted="(r (weighted self.l_extendedprice self.l_discount) 4)", n="(count self.l_quantity)").df
+
+
 @query("select event_id, (props ->> 'k')::int as k from events")
 def json_object_col(spark, d):
     return table(spark, d, "events").select("event_id", F.variant_get(F.parse_json("props"), "$.k", "int").alias("k"))
@@ -792,6 +800,20 @@ def stream_into_series(spark, d):
     return c.df().select("label", "event_id", "value")
 
 
+PAGES = "with p as (select doc_id, strip_accents(lower(text)) as t from documents), x as (select distinct doc_id, unnest(list_transform(range(1, greatest(length(t) - 1, 1)), lambda i: substr(t, i, 3))) as trigram from p)"
+
+
+@query(f"{PAGES} select trigram, count(*) as pages from x where length(trigram) = 3 group by 1")
+def trigram_index_documents(spark, d):
+    """How many pages hold each trigram: the whole inverted index of whole texts, counted."""
+    return trigram_index(table(spark, d, "documents"), "doc_id", "text").groupBy("trigram").agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query(f"{PAGES} select doc_id from x where trigram in ('har', 'arb', 'rbo', 'bou', 'our', 'fré', 'fre') group by 1 having count(distinct trigram) = 6")
+def trigram_search_documents(spark, d):
+    return trigram_search(trigram_index(table(spark, d, "documents"), "doc_id", "text"), "doc_id", "Harbour", "Fré")
+
+
 @query("select case when 30 * 86400 <= epoch(max(ts)) - epoch(min(ts)) then 'M' when 7 * 86400 <= epoch(max(ts)) - epoch(min(ts)) then 'W' else 'D' end as unit from events")
 def natural_period(spark, d):
     """The unit of time whose pages suit the events."""
