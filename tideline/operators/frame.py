@@ -229,6 +229,13 @@ def take_rows(df: DataFrame, by: list[str], chosen: list) -> DataFrame:
 # --- sets
 
 
+def united(frames: list[DataFrame]) -> DataFrame:
+    """All rows of frames with the same columns in the same order. Put together pair by pair, so that no plan is looked through more than a few times however many there are."""
+    while len(frames) > 1:
+        frames = [a[0].union(a[1]) if len(a) == 2 else a[0] for a in (frames[i : i + 2] for i in range(0, len(frames), 2))]
+    return frames[0]
+
+
 def concat(*frames: DataFrame) -> DataFrame | None:
     """All rows of frames of one schema; ValueError if they differ."""
     if not frames:

@@ -17,9 +17,13 @@ def plain(text: Column) -> Column:
     return F.translate(F.regexp_replace(F.lower(text), r"\p{Mn}+", ""), "".join(low), "".join(low.values()))
 
 
+#: Three characters from each one on; no match begins within a character that takes two units.
+EACH = r"(?s)(?=([^\x{DC00}-\x{DFFF}]..))"
+
+
 def trigrams(text: Column) -> Column:
     """Different trigrams of a text; none of a null or of less than three characters. One pass over the text, whatever its length."""
-    return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(...))"), F.lit(1))))
+    return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.array_distinct(F.regexp_extract_all(text, F.lit(EACH), F.lit(1))))
 
 
 def trigram_index(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.operators.frame import Frame, kv_upsert, paged, tail, update_columns
+from tideline.operators.frame import Frame, kv_upsert, paged, tail, united, update_columns
 from tideline.store.bounds import Closed, Interval, by_start, ends_after
 from tideline.store.changelog import ROOT, Changelog, Revision, hextime
 from tideline.store.files import Files
@@ -290,7 +290,7 @@ class Collection:
         if len(waiting) == 1:
             done = {id(w): w.series._segment(w.df, w.start, w.stop, w.closed, False) for w in waiting}
         else:
-            rows = reduce(DataFrame.unionByName, (w.df.select(F.lit(f"{i} {w.series.label}").alias(PART), *self.schema) for i, w in enumerate(waiting)))
+            rows = united([w.df.select(F.lit(f"{i} {w.series.label}").alias(PART), *self.schema) for i, w in enumerate(waiting)])
             checked = rows.select("*", F.when(holes(self.schema), F.raise_error(F.lit("a row has a null in the index"))).alias("_check")).where("_check is null").drop("_check")
             stored = {part: Stored(digest, n, first, last) for part, first, last, digest, n in self.repo.store_labelled(self._labelled_schema, checked)}
             done = {}
