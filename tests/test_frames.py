@@ -111,6 +111,6 @@ def test_trigrams_of_any_script(spark):
     df = spark.createDataFrame([(1, "Ærø 👩🏽x"), (2, "ŁÓDŹ"), (3, None), (4, "ab"), (5, "Ξένος"), (6, "abc" * 100_000), (7, "e\u0301te")], "k long, t string")
     index = trigram_index(df, "k", "t")
     got = {k: sorted(r.trigram for r in index.where(f"k = {k}").collect()) for k in range(1, 8)}
-    assert got[1] == sorted(["ærø", "rø ", "ø 👩", " 👩🏽", "👩🏽x"]) and got[2] == ["łod", "odz"] and got[3] == got[4] == []
+    assert got[1] == sorted(["ærø", "rø ", "ø 👩", " 👩🏽", "👩🏽x"]) and got[2] == sorted(["łod", "odz"]) and got[3] == got[4] == []
     assert got[5] == sorted(["ξεν", "ενο", "νος"]) and got[6] == ["abc", "bca", "cab"] and got[7] == ["ete"]
     assert [r.k for r in trigram_search(index, "k", "ÉTÉ").collect()] == [7]
