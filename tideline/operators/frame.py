@@ -6,7 +6,8 @@ of the index, not of partitions: what depends on it sorts by the index, with the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 from functools import reduce as fold
 from typing import Any
 
@@ -104,14 +105,44 @@ def running(df: DataFrame, by: list[str], wanted: list[tuple[str, Column, str]])
     return out.select(*(F.col(f"`{c}`") for c in plain), *(n for _, _, n in wanted))
 
 
-def paged(df: DataFrame, by: list[str], step: int) -> Iterator[DataFrame]:
-    """Pages of at most ``step`` rows, none empty: the rows are put in order, numbered and written once; a page reads the files that hold it."""
-    columns = df.columns
-    numbered = running(df, by, [("count", F.lit(1), "_n")]).withColumn("_page", F.floor((F.col("_n") - 1) / step))
-    table = written(numbered.repartitionByRange("_n").sortWithinPartitions("_n"), "pages")
-    last = table.agg(F.max("_page")).first()[0]
-    for page in range(0 if last is None else last + 1):
-        yield table.where(F.col("_page") == page).orderBy("_n").select(*(F.col(f"`{c}`") for c in columns))
+class Pages(Iterator[DataFrame]):
+    """Pages of at most ``step`` rows, none empty: at the first use the rows are put in order, numbered and written once; a page reads the files that hold it.
+
+    Each page is a plan of its own, for reading one after the other. A union of them has a branch for each; rest() has all in one plan that doesn't grow with their number. ``made``: what becomes of a page's rows.
+    """
+
+    def __init__(self, df: DataFrame, by: list[str], step: int, made: Callable[[DataFrame], DataFrame] = lambda rows: rows):
+        self.df, self.by, self.step, self.made = df, by, step, made
+        self.next = 0
+
+    @cached_property
+    def table(self) -> DataFrame:
+        numbered = running(self.df, self.by, [("count", F.lit(1), "_n")]).withColumn("_page", F.floor((F.col("_n") - 1) / self.step))
+        return written(numbered.repartitionByRange("_n").sortWithinPartitions("_n"), "pages")
+
+    @cached_property
+    def number(self) -> int:
+        last = self.table.agg(F.max("_page")).first()[0]
+        return 0 if last is None else last + 1
+
+    def __next__(self) -> DataFrame:
+        if self.next >= self.number:
+            raise StopIteration
+        self.next += 1
+        return self._rows(F.col("_page") == self.next - 1)
+
+    def rest(self) -> DataFrame:
+        """The rows of all pages that are still to come, in their order; none are to come then."""
+        first, self.next = self.next, self.number
+        return self._rows(F.col("_page") >= first)
+
+    def _rows(self, where: Column) -> DataFrame:
+        return self.made(self.table.where(where).orderBy("_n").select(*(F.col(f"`{c}`") for c in self.df.columns)))
+
+
+def paged(df: DataFrame, by: list[str], step: int) -> Pages:
+    """Pages of at most ``step`` rows in the order of the index, see Pages."""
+    return Pages(df, by, step)
 
 
 def page_numbers(df: DataFrame, by: list[str], step: int, within: list[str] | None = None) -> DataFrame:
@@ -236,10 +267,11 @@ def united(frames: list[DataFrame]) -> DataFrame:
     return frames[0]
 
 
-def concat(*frames: DataFrame) -> DataFrame | None:
-    """All rows of frames of one schema; ValueError if they differ."""
+def concat(*frames: DataFrame | Pages) -> DataFrame | None:
+    """All rows of frames of one schema; ValueError if they differ. Pages come in whole, however many there are."""
     if not frames:
         return None
+    frames = [x.rest() if isinstance(x, Pages) else x for x in frames]
     kinds = [[(f.name, f.dataType) for f in x.schema] for x in frames]
     if any(k != kinds[0] for k in kinds):
         raise ValueError("frames differ in their schemas")

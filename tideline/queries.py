@@ -650,7 +650,7 @@ def series_tail(spark, d):
 
 @query("select ts, event_id, value from events where event_type = 'error'")
 def series_paginate(spark, d):
-    return ops.concat(*(event_store(spark, d) / "error").paginate(700))
+    return ops.concat((event_store(spark, d) / "error").paginate(700))
 
 
 @query("select ts, event_id, value from events")

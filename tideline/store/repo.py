@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.operators.frame import Frame, kv_upsert, paged, tail, united, update_columns
+from tideline.operators.frame import Frame, Pages, kv_upsert, tail, united, update_columns
 from tideline.store.bounds import Closed, Interval, by_start, ends_after
 from tideline.store.changelog import ROOT, Changelog, Revision, hextime
 from tideline.store.files import Files
@@ -66,10 +66,9 @@ class Series:
         """The last rows of a range; limit and offset count within them."""
         return chosen(tail(self.df(start, stop, before, closed), self.schema.idx, length, limit, offset), select)
 
-    def paginate(self, step: int = PAGE, start: Any = None, stop: Any = None, before: Any = None, closed: Any = "l", limit: int | None = None, offset: int | None = None, select: Any = None) -> Iterator[DataFrame]:
+    def paginate(self, step: int = PAGE, start: Any = None, stop: Any = None, before: Any = None, closed: Any = "l", limit: int | None = None, offset: int | None = None, select: Any = None) -> Pages:
         """Pages of at most ``step`` rows in the order of the index, none of them empty; rows with equal index values are not lost between pages."""
-        for page in paged(self.df(start, stop, before, closed, limit, offset), self.schema.idx, step):
-            yield chosen(page, select)
+        return Pages(self.df(start, stop, before, closed, limit, offset), self.schema.idx, step, lambda rows: chosen(rows, select))
 
     def __len__(self) -> int:
         """Tables that are shown whole are counted by the manifest, the others by a scan."""
